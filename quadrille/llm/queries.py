@@ -44,6 +44,13 @@ FROM docs LEFT JOIN hit_words USING (r) LEFT JOIN hit_items USING (r)
 """
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrille.llm.toxicity import toxicity
+
+    found = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("offending").cast("long").alias("n_offending"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quadrille.llm.simhash import hex_of, near_duplicates
 
@@ -51,6 +58,50 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrille.llm.secrets import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op7_sql() -> str:
+    from quadrille.llm.secrets import BASE, RULES
+
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    parts = []
+    for k, r in enumerate(RULES):
+        p = quoted(r.pattern)
+        parts.append(f"""
+  SELECT r, {k} AS k, '{r.kind}' AS kind, start, start + len(ms[i]) AS stop
+  FROM (
+    SELECT r, ms, gs, i, CAST(list_sum(list_transform(ps[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: len(x))), 0) AS BIGINT) AS start
+    FROM (SELECT r, ms, gs, ps, unnest(range(1, len(ms) + 1)) AS i
+      FROM (SELECT r, regexp_extract_all(text, {p}) AS ms, regexp_extract_all(text, {p}, {r.group}) AS gs, regexp_split_to_array(text, {p}) AS ps FROM docs WHERE regexp_matches(text, {p})))
+    WHERE len(gs[i]) >= {r.least}
+  )""")
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{r.kind}') AS n_{r.kind}" for r in BASE)
+    listed = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k, stop)"
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+spans AS ({"  UNION ALL".join(parts)}),
+rows AS (SELECT r, {counts}, {listed} FILTER (WHERE k < {len(BASE)}) AS base, {listed} AS spans FROM spans GROUP BY r)
+SELECT doc_id, {", ".join(f"CAST(coalesce(n_{r.kind}, 0) AS BIGINT) AS n_{r.kind}" for r in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN rows USING (r)
+"""
+
+
+def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrille.llm.fingerprints import edit_test
+
+    return edit_test(table(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrille.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -59,5 +110,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op4_simhash, op10_byte_bpe)}
-ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op4_simhash, op7_secret_scan, op8_fingerprint, op9_quality, op10_byte_bpe)}
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op7_secret_scan": op7_sql()}
