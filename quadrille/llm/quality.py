@@ -16,9 +16,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from quadrille.llm.common import hashes, mix, rows_of, slices, stored, text_bytes, whole_words
+from quadrille.llm.common import hashes, mix, rows_of, slices, text_bytes, whole_words
 from quadrille.llm.training import fold, sample
 
 ROWS_OF_A_LABEL = 2000
@@ -164,12 +163,17 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
         own = kept.setdefault("model", Model(*shared.value))
         for batch in slices(batches, "text"):
             data, offsets = text_bytes(batch.column(1))
-            value = np.concatenate([own.votes(own.project(own.counts(*_part(data, offsets, at)))) for at in range(0, batch.num_rows, 1024)])
+            value = _values(own, data, offsets)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "score": pa.array(value, pa.float64()), "predicted": pa.array((value >= threshold).astype(np.int32))})
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
 
 
+def _values(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    parts = (_part(data, offsets, at) for at in range(0, len(offsets) - 1, 1024))
+    return np.concatenate([model.votes(model.project(model.counts(*part))) for part in parts])
+
+
 def _part(data: np.ndarray, offsets: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows from at on, 1024 of them at most, so that a table of counts is bounded."""
     part = offsets[at : at + 1025]
@@ -182,10 +186,17 @@ def quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int =
     return found.select("doc_id", (fold("doc_id", folds) == held_out).alias("held_out"), "score", "predicted")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those that are predicted 0; columns stay as they are. Rows of one doc_id are one
-    document, which goes if any row does; those without a doc_id are one for each text."""
-    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.sha2(F.coalesce("text", F.lit("")), 256))))
-    found = score(keyed.select(F.col("__key").alias("doc_id"), "text"), train(docs, labels))
-    gone = stored(found.where("predicted = 0").select(F.col("doc_id").alias("__key")).distinct(), "rejected")
-    return keyed.join(gone, "__key", "left_anti").select(*docs.columns)
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """docs without the rows whose own text scores under threshold; columns stay as they are, whatever
+    they are called. Rows are judged where they are read, so nothing is shuffled."""
+    model = train(docs, labels)
+    shared = docs.sparkSession.sparkContext.broadcast((model.terms, model.vectors, model.neighbours, model.labels, model.prior))
+    kept: dict[str, Model] = {}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = kept.setdefault("model", Model(*shared.value))
+        for batch in slices(batches, "text"):
+            data, offsets = text_bytes(batch.column(batch.schema.get_field_index("text")))
+            yield batch.filter(pa.array(_values(own, data, offsets) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
