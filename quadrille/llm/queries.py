@@ -58,6 +58,33 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrille.llm.substring import repeats
+
+    return repeats(table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = """
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS ws FROM documents
+), windows AS (
+  SELECT r, doc_id, i, ws[i : i + 12] AS win FROM (SELECT r, doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM docs)
+), least AS (
+  SELECT win, min(doc_id) AS first FROM windows GROUP BY win
+), gone AS (
+  SELECT DISTINCT r, unnest(range(i, i + 13)) AS p FROM windows w JOIN least l ON w.win = l.win WHERE first < doc_id
+), counts AS (
+  SELECT r, count(*) AS n, list(p) AS ps FROM gone GROUP BY r
+), words AS (
+  SELECT r, ws[p] AS w, p FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS p FROM docs)
+), kept AS (
+  SELECT w.r, string_agg(w, ' ' ORDER BY w.p) AS t FROM words w ANTI JOIN gone g ON w.r = g.r AND w.p = g.p GROUP BY w.r
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM docs LEFT JOIN counts USING (r) LEFT JOIN kept USING (r)
+"""
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quadrille.llm.secrets import scan
 
@@ -110,5 +137,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op4_simhash, op7_secret_scan, op8_fingerprint, op9_quality, op10_byte_bpe)}
-ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op7_secret_scan": op7_sql()}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op4_simhash, op5_substring, op7_secret_scan, op8_fingerprint, op9_quality, op10_byte_bpe)}
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op5_substring": OP5_SQL, "op7_secret_scan": op7_sql()}
