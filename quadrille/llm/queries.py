@@ -51,6 +51,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted", F.size("offending").cast("long").alias("n_offending"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrille.llm.html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quadrille.llm.simhash import hex_of, near_duplicates
 
@@ -137,5 +143,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op4_simhash, op5_substring, op7_secret_scan, op8_fingerprint, op9_quality, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_html_text, op4_simhash, op5_substring, op7_secret_scan, op8_fingerprint, op9_quality, op10_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op5_substring": OP5_SQL, "op7_secret_scan": op7_sql()}
