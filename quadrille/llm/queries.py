@@ -91,6 +91,35 @@ FROM docs LEFT JOIN counts USING (r) LEFT JOIN kept USING (r)
 """
 
 
+def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archive of all pages against a replica in which a byte of every fiftieth page is wrong."""
+    from quadrille.llm.warc import audit
+
+    pages = table(spark, sf_dir, "pages")
+    wrong = F.when(F.col("page_id") % 50 == 7, F.regexp_replace("html", "^([^<]*)<", "$1>")).otherwise(F.col("html"))
+    return audit(pages, pages.withColumn("html", wrong))
+
+
+OP6_SQL = """
+WITH bodies AS (
+  SELECT page_id, url, chr(13) || chr(10) AS e, coalesce(html, '') AS html,
+    CASE WHEN page_id % 50 = 7 THEN regexp_replace(coalesce(html, ''), '<', '>') ELSE coalesce(html, '') END AS other
+  FROM pages
+), records AS (
+  SELECT page_id, url, html = other AS intact, 'WARC/1.0' || e || 'WARC-Type: resource' || e || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), 'none')
+    || '>' || e || 'WARC-Date: 1970-01-01T00:00:00Z' || e || 'WARC-Target-URI: ' || translate(coalesce(url, ''), e, '  ')
+    || e || 'Content-Type: text/html' || e || 'Content-Length: ' || strlen(html) || e || e || html || e || e AS record
+  FROM bodies
+), leaves AS (
+  SELECT CAST(coalesce(floor(page_id / 256), -1) AS BIGINT) AS file, page_id, url, CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS sha256, count(*) AS copies, bool_and(intact) AS intact
+  FROM records GROUP BY ALL
+)
+SELECT file, row_number() OVER w - 1 AS place, page_id, url, CAST(coalesce(sum(length * copies) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
+  length, copies, sha256, intact
+FROM leaves WINDOW w AS (PARTITION BY file ORDER BY page_id NULLS FIRST, url NULLS FIRST, sha256)
+"""
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quadrille.llm.secrets import scan
 
@@ -143,5 +172,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_html_text, op4_simhash, op5_substring, op7_secret_scan, op8_fingerprint, op9_quality, op10_byte_bpe)}
-ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op5_substring": OP5_SQL, "op7_secret_scan": op7_sql()}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_html_text, op4_simhash, op5_substring, op6_warc_fixity, op7_secret_scan, op8_fingerprint, op9_quality, op10_byte_bpe)}
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op5_substring": OP5_SQL, "op6_warc_fixity": OP6_SQL, "op7_secret_scan": op7_sql()}
