@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = ""
+from quadrille.plans import profile
+
+QUERIES: dict = dict(profile.QUERIES)
+ORACLE_SQL: dict[str, str] = dict(profile.ORACLE_SQL)
+FLAGSHIP = "freq_floor_cuts"
