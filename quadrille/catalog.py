@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quadrille.plans import profile
+from quadrille.plans import labels, profile
 
-QUERIES: dict = dict(profile.QUERIES)
-ORACLE_SQL: dict[str, str] = dict(profile.ORACLE_SQL)
+QUERIES: dict = profile.QUERIES | labels.QUERIES
+ORACLE_SQL: dict[str, str] = profile.ORACLE_SQL | labels.ORACLE_SQL
 FLAGSHIP = "freq_floor_cuts"
