@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quadrille.plans import labels, profile
+from quadrille.plans import evaluate, labels, profile
 
-QUERIES: dict = profile.QUERIES | labels.QUERIES
-ORACLE_SQL: dict[str, str] = profile.ORACLE_SQL | labels.ORACLE_SQL
+QUERIES: dict = profile.QUERIES | labels.QUERIES | evaluate.QUERIES
+ORACLE_SQL: dict[str, str] = profile.ORACLE_SQL | labels.ORACLE_SQL | evaluate.ORACLE_SQL
 FLAGSHIP = "freq_floor_cuts"
