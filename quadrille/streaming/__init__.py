@@ -1 +1,20 @@
+"""Streaming forms of the event aggregates. They extend the library; batch and stream give the same rows."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def windowed(events: DataFrame, length: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
+    """start, event_type, n, total for windows over ts; on a stream, rows later than the watermark are dropped."""
+    marked = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    window = F.window("ts", length, slide) if slide else F.window("ts", length)
+    return marked.groupBy(window.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """user_id, start, end, n: a user's events with less than gap between them."""
+    marked = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    found = marked.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"))
+    return found.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
