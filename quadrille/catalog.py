@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quadrille.plans import evaluate, labels, profile
+from quadrille.plans import checks, evaluate, labels, profile
 
-QUERIES: dict = profile.QUERIES | labels.QUERIES | evaluate.QUERIES
-ORACLE_SQL: dict[str, str] = profile.ORACLE_SQL | labels.ORACLE_SQL | evaluate.ORACLE_SQL
+QUERIES: dict = profile.QUERIES | labels.QUERIES | evaluate.QUERIES | checks.QUERIES
+ORACLE_SQL: dict[str, str] = profile.ORACLE_SQL | labels.ORACLE_SQL | evaluate.ORACLE_SQL | checks.ORACLE_SQL
 FLAGSHIP = "freq_floor_cuts"
