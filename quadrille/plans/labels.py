@@ -228,6 +228,13 @@ def line() -> list:
     return points
 
 
+def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """feature_id, feature_class, p (points), t (tokens), each a column of its own: what is used many times
+    is then worked out once for each row."""
+    p = features(spark, sf_dir).select("feature_id", "feature_class", line().alias("p"))
+    return p.select("*", tokens.encode(F.col("feature_class"), F.col("p")).alias("t"))
+
+
 ENCODE_SQL = SQL + """, q AS (SELECT feature_id, feature_class, x0, y0, w, h, CAST(round_even(x0 / 0.5, 0) AS INT) AS qx, CAST(round_even(y0 / 0.5, 0) AS INT) AS qy FROM feat),
 t AS (SELECT *, [509, feature_class, 300 + qx // 23, 323 + qx % 23, 346 + qy // 23, 369 + qy % 23]
   || flatten(list_transform(range((w * 2 - 1) // 64 + 1), lambda k: [511, 443 + CAST(least(64, w * 2 - k * 64) AS INT)])) || flatten(list_transform(range((h * 2 - 1) // 64 + 1), lambda k: [601, 443 + CAST(least(64, h * 2 - k * 64) AS INT)])) || [510] AS tokens FROM q)
@@ -236,31 +243,32 @@ t AS (SELECT *, [509, feature_class, 300 + qx // 23, 323 + qx % 23, 346 + qy //
 
 @query(ENCODE_SQL + "SELECT feature_id, array_to_string(tokens, ',') AS tokens, len(tokens) AS n FROM t")
 def encode_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = features(spark, sf_dir).select("feature_id", tokens.encode(F.col("feature_class"), line()).alias("t"))
+    t = encoded(spark, sf_dir)
     return t.select("feature_id", F.array_join(F.transform("t", lambda x: x.cast("string")), ",").alias("tokens"), F.size("t").cast("long").alias("n"))
 
 
 @query(ENCODE_SQL + "SELECT feature_class, sum(len(tokens))::BIGINT AS cost FROM t GROUP BY 1")
 def token_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(spark, sf_dir).groupBy("feature_class").agg(F.sum(tokens.cost(line())).alias("cost"))
+    p = features(spark, sf_dir).select("feature_class", line().alias("p"))
+    return p.groupBy("feature_class").agg(F.sum(tokens.cost(F.col("p"))).alias("cost"))
 
 
 @query(ENCODE_SQL + "SELECT feature_id, 2::BIGINT AS n_blocks, array_to_string(tokens, ',') AS second FROM t")
 def split_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = tokens.encode(F.col("feature_class"), line())
-    b = features(spark, sf_dir).select("feature_id", tokens.blocks(F.concat(one, one, F.array(F.lit(509), F.lit(1)))).alias("b"))
+    twice = encoded(spark, sf_dir).select("feature_id", F.concat("t", "t", F.array(F.lit(509), F.lit(1))).alias("t"))
+    b = twice.select("feature_id", tokens.blocks(F.col("t")).alias("b"))
     return b.select("feature_id", F.size("b").cast("long").alias("n_blocks"), F.array_join(F.transform(F.get("b", F.lit(1)), lambda x: x.cast("string")), ",").alias("second"))
 
 
 @query(SQL + ", q AS (SELECT feature_id, round_even(x0 / 0.5, 0) * 0.5 AS x, round_even(y0 / 0.5, 0) * 0.5 AS y FROM feat) SELECT feature_id, x, y FROM q")
 def decode_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = features(spark, sf_dir).select("feature_id", tokens.encode(F.col("feature_class"), line()).alias("t"))
+    t = encoded(spark, sf_dir)
     return t.select("feature_id", tokens.decode_anchor(F.col("t")).alias("p")).select("feature_id", "p.x", "p.y")
 
 
 @query(SQL + "SELECT feature_id, round(round_even(x0 / 0.5, 0) * 0.5 + w * cos(radians(0.5)) + h * cos(radians(90.5)), 6) AS x, round(round_even(y0 / 0.5, 0) * 0.5 + w * sin(radians(0.5)) + h * sin(radians(90.5)), 6) AS y FROM feat")
 def decode_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = features(spark, sf_dir).select("feature_id", tokens.encode(F.col("feature_class"), line()).alias("t"))
+    t = encoded(spark, sf_dir)
     return t.select("feature_id", tokens.decode_end(F.col("t")).alias("p")).select("feature_id", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
 
 
