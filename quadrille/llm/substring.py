@@ -35,8 +35,9 @@ from quadrille.llm.common import hashes, mix, powers, rows_of, slices, text_byte
 WINDOW = 13
 #: Words in the sequences that anchors are chosen from.
 GRAM = 5
-#: Windows in an automaton, at most (a single anchor's windows stay together).
-AUTOMATON = 60_000
+#: Windows in an automaton, at most (a single anchor's windows stay together). The library looks through a
+#: node's children one by one, and the root has one for each first word, so small automata are faster.
+AUTOMATON = 1_000
 #: Documents with an anchor from which on each of its windows is dealt out for itself.
 COMMON = 20_000
 #: Text whose anchors are packed together.
@@ -300,7 +301,7 @@ def hit_rows(packed: DataFrame, parts: int, window: int) -> DataFrame:
         part = None
 
         def answer() -> pa.RecordBatch:
-            numbers: dict[tuple[int, bytes], int] = {}
+            numbers: dict[tuple[int, bytes], int] = {}  # of the different stretches
             which, keys, docs, firsts = [], [], [], []
             for contents, number, key, doc_id, first in held:
                 global_ = np.array([numbers.setdefault(c, len(numbers)) for c in contents], np.int64)
