@@ -365,7 +365,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, parts: int | None = None, com
     Words are [^\\x20\\x09-\\x0D]+. A word goes if a window of words over it also starts in a document of
     a smaller doc_id; rows of one doc_id don't remove each other's words. A null doc_id comes after all
     others, and rows without one don't remove each other's words. Null and empty texts have no words."""
-    parts = parts or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     answers = recurring_rows(anchor_rows(docs, parts, window), parts, common)
     found = hit_rows(stretch_rows(answers, docs, parts, window), parts, window)
