@@ -254,7 +254,8 @@ def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     found = near_duplicates(docs, width)
     state = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("kept"), (F.count("*") > 1).alias("repeated"))
     state = stored(state, "kept")
-    gone = state.where("NOT kept").select(F.col("doc_id").alias("__gone"))
+    # As many ids as there are copies, so never broadcast: the plan is the same at every size.
+    gone = state.where("NOT kept").select(F.col("doc_id").alias("__gone")).hint("merge")
     kept = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
     again = state.where("repeated").select(F.col("doc_id").alias("__again"))
     if again.isEmpty():
