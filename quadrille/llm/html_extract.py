@@ -30,10 +30,13 @@ TOKEN = re.compile("[a-z]+")
 
 # Kinds of elements of the markup language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math select button".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
+#: Elements of other markup, in which "/>" closes; what stands apart from the words around it.
+FOREIGN = frozenset({"svg", "math"})
+APART = frozenset("br select option optgroup button".split())
 BLOCK = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table caption tbody td tfoot th thead tr ul".split())
 #: Elements that a start tag closes, and those beyond which it doesn't look.
-CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, set())}
+CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select", "datalist", "optgroup"})}
 HEAD = frozenset({"head"})
 
 
@@ -59,7 +62,7 @@ def parse(page: str) -> Tree:
     tree = Tree()
     stack: list[tuple[str, int]] = [("#root", tree.add("#root", -1, []))]
     pending: list[str] = []
-    link = hidden = 0
+    link = hidden = foreign = 0
     skip_to = 0
 
     def flush() -> None:
@@ -70,12 +73,15 @@ def parse(page: str) -> Tree:
                 tree.texts.append((stack[-1][1], text))
 
     def pop(k: int) -> None:
-        nonlocal link, hidden
+        nonlocal link, hidden, foreign
         if any(t in BLOCK for t, _ in stack[k:]):
             flush()
         for t, _ in stack[k:]:
             link -= t == "a"
             hidden -= t in HEAD
+            foreign -= t in FOREIGN
+            if t in APART:
+                pending.append(" ")
         del stack[k:]
 
     def text(raw: str) -> None:
@@ -104,18 +110,19 @@ def parse(page: str) -> Tree:
                     flush()
             continue
         rest = m[3] if m[2] else m[6]
-        if tag in RAW:
+        if tag in RAW and not (foreign and rest.endswith("/")):
             end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>", re.I).search(page, m.end())
-            skip_to = at = end.end() if end else len(page)
-            pending.append(" ")
-            continue
+            if end or not foreign:
+                skip_to = at = end.end() if end else len(page)
+                pending.append(" ")
+                continue
         if tag in BLOCK:
             flush()
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == "p":
                     pop(k)
                     break
-                if stack[k][0] in ("td", "th", "table", "button", "blockquote", "article", "section", "div", "li"):
+                if stack[k][0] in ("td", "th", "table", "button", "blockquote", "article", "section", "div", "li", "foreignobject"):
                     break
         if tag in CLOSES:
             which, until = CLOSES[tag]
@@ -127,7 +134,7 @@ def parse(page: str) -> Tree:
                     break
         node = stack[-1][1]
         tree.inner[node] += 1
-        if tag == "br":
+        if tag in APART:
             pending.append(" ")
         if tag in VOID or rest.endswith("/") and tag not in BLOCK:
             continue
@@ -142,6 +149,7 @@ def parse(page: str) -> Tree:
             node = tree.add(tag, node, tokens, mark)
         link += tag == "a"
         hidden += tag in HEAD
+        foreign += tag in FOREIGN
         stack.append((tag, node))
     text(page[max(at, skip_to) :])
     flush()

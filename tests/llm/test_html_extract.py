@@ -33,6 +33,16 @@ def test_parser():
     assert tree.tokens[1] == ["div", "main", "menu", "x", "top"] and tree.parents == [-1, 0, 1]
 
 
+def test_drawings_formulas_and_controls():
+    assert blocks("<svg class='i'/><article><p>a</p></article>") == ["a"] == blocks("<math/><p>a</p>")
+    assert blocks("<svg><path d='M0'/><p>a</p>") == ["a"]
+    assert blocks("<button>b<article><p>a</p></article>") == ["b", "a"]
+    assert blocks("<select><option>x<option>y<article><p>a</p><select><option>z</select>b</article>c") == ["x y", "a", "z b", "c"]
+    assert blocks("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>") == ["so x=2 holds"]
+    assert blocks("<p>a<button>b</button>c <svg><title/><text>d</text></svg> e</p><p>f") == ["a b c d e", "f"]
+    assert blocks("<svg><style>p{}</style></svg>a <svg><title>b<p>c") == ["a b", "c"]
+
+
 def test_decoding_against_all_choices():
     rng = np.random.default_rng(3)
     for _ in range(60):
