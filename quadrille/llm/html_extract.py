@@ -37,7 +37,6 @@ APART = frozenset("br select option optgroup button".split())
 BLOCK = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table caption tbody td tfoot th thead tr ul".split())
 #: Elements that a start tag closes, and those beyond which it doesn't look.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select", "datalist", "optgroup"})}
-HEAD = frozenset({"head"})
 
 
 @dataclass
@@ -62,30 +61,29 @@ def parse(page: str) -> Tree:
     tree = Tree()
     stack: list[tuple[str, int]] = [("#root", tree.add("#root", -1, []))]
     pending: list[str] = []
-    link = hidden = foreign = 0
+    link = foreign = 0
     skip_to = 0
 
     def flush() -> None:
         if pending:
             text = " ".join("".join(pending).split())
             pending.clear()
-            if text and not hidden:
+            if text:
                 tree.texts.append((stack[-1][1], text))
 
     def pop(k: int) -> None:
-        nonlocal link, hidden, foreign
+        nonlocal link, foreign
         if any(t in BLOCK for t, _ in stack[k:]):
             flush()
         for t, _ in stack[k:]:
             link -= t == "a"
-            hidden -= t in HEAD
             foreign -= t in FOREIGN
             if t in APART:
                 pending.append(" ")
         del stack[k:]
 
     def text(raw: str) -> None:
-        if raw and not hidden:
+        if raw:
             decoded = html.unescape(raw) if "&" in raw else raw
             pending.append(decoded)
             if link:
@@ -136,7 +134,8 @@ def parse(page: str) -> Tree:
         tree.inner[node] += 1
         if tag in APART:
             pending.append(" ")
-        if tag in VOID or rest.endswith("/") and tag not in BLOCK:
+        # Whatever can be displayed ends the head, closed or not: nothing needs to be inside it.
+        if tag == "head" or tag in VOID or rest.endswith("/") and tag not in BLOCK:
             continue
         if tag in BLOCK:
             tokens, mark = [tag], ""
@@ -148,7 +147,6 @@ def parse(page: str) -> Tree:
                     mark = value
             node = tree.add(tag, node, tokens, mark)
         link += tag == "a"
-        hidden += tag in HEAD
         foreign += tag in FOREIGN
         stack.append((tag, node))
     text(page[max(at, skip_to) :])

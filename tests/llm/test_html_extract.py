@@ -33,6 +33,14 @@ def test_parser():
     assert tree.tokens[1] == ["div", "main", "menu", "x", "top"] and tree.parents == [-1, 0, 1]
 
 
+def test_open_head(model):
+    page = "<html><head><title>x</title>{}<body><article><p>text</p></article></body></html>"
+    assert blocks(page.format("")) == blocks(page.format("</head>")) == ["text"] == blocks("<head><meta charset=x><style>p{}</style>text")
+    assert blocks("<head><title>x</title><p>a</p><head>b") == ["a", "b"]
+    article = "<article><h1>Title</h1><p>One two, three.</p><p>Four, five six.</p></article>"
+    assert main_text([parse(f"<html><head><title>x</title>{end}<body>{article}") for end in ("", "</head>")], model) == ["Title\n\nOne two, three.\n\nFour, five six."] * 2
+
+
 def test_drawings_formulas_and_controls():
     assert blocks("<svg class='i'/><article><p>a</p></article>") == ["a"] == blocks("<math/><p>a</p>")
     assert blocks("<svg><path d='M0'/><p>a</p>") == ["a"]
