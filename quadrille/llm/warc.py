@@ -108,14 +108,17 @@ def damaged(left: DataFrame, right: DataFrame, within: int, over: int) -> DataFr
 
 
 def audit(pages: DataFrame, replica: DataFrame) -> DataFrame:
-    """The manifest of pages and intact: whether the replica has the same record at the same place.
-    Records that only the replica has are not listed. Null ids, urls and bodies are records like any
+    """The manifest of pages and intact: whether the replica has the same record at the same place. A
+    place that only the replica has is a row of the replica's manifest, not intact. Null ids, urls and bodies are records like any
     other; an empty table has an empty manifest."""
     own, other = stored(manifest(pages), "manifest"), stored(manifest(replica), "manifest")
     within, over = heights(own, other)
     nodes = [stored(tree(m, within, over), "tree") for m in (own, other)]
     bad = damaged(*nodes, within, over).withColumn("bad", F.lit(True))
-    return own.join(bad, ["file", "place"], "left").withColumn("intact", F.col("bad").isNull()).drop("bad")
+    keys = ["file", "place"]
+    theirs = bad.join(other.select(*keys, F.struct(*own.columns).alias("their")), keys, "left")
+    both = own.join(theirs, keys, "full_outer")
+    return both.select(*keys, *[F.when(F.col("sha256").isNull(), F.col("their")[c]).otherwise(F.col(c)).alias(c) for c in own.columns if c not in keys], F.col("bad").isNull().alias("intact"))
 
 
 def write(pages: DataFrame, path: str) -> None:

@@ -57,6 +57,16 @@ def test_lost_and_cut_records(spark):
     assert all(not r.intact for r in audit(make(spark, data), empty).collect())
 
 
+def test_records_and_files_of_the_replica_alone(spark):
+    data = rows(40)
+    more = [(41, "http://x/41", "appended"), (3000, "http://x/3000", "a file of its own")]
+    found = audit(make(spark, data), make(spark, data + more)).collect()
+    assert {(r.page_id, r.url) for r in found if not r.intact} == {(i, u) for i, u, _ in more}
+    assert sum(r.copies for r in found) == len(data) + 2 and all(r.sha256 and r.length and r.offset is not None for r in found)
+    alone = audit(make(spark, data).limit(0), make(spark, data)).collect()
+    assert sum(r.copies for r in alone) == len(data) and not any(r.intact for r in alone)
+
+
 def test_only_differing_branches_are_descended(spark):
     data = rows(600)
     a, b = manifest(make(spark, data)), manifest(make(spark, [(i, u, "#") if i == 300 else (i, u, h) for i, u, h in data]))
