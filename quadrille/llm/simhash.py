@@ -248,20 +248,25 @@ def hex_of(fp: Column) -> Column:
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """docs with one document of each near-duplicate component: the one of the smallest doc_id. All
-    columns stay as they are. Rows of one doc_id are one document: it stays if it is the smallest of
-    any row's component, as its first row by text. Rows whose doc_id is null stay."""
-    found = near_duplicates(docs, width)
-    state = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("kept"), (F.count("*") > 1).alias("repeated"))
-    state = stored(state, "kept")
-    # As many ids as there are copies, so never broadcast: the plan is the same at every size.
-    gone = state.where("NOT kept").select(F.col("doc_id").alias("__gone")).hint("merge")
-    kept = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
-    again = state.where("repeated").select(F.col("doc_id").alias("__again"))
+    """docs with one row of each near-duplicate component: the least by doc_id, then by the hash of its
+    text, then by the other columns. All columns stay as they are. Rows of one doc_id whose texts aren't
+    near-duplicates are in components of their own and stay. Rows without a doc_id are held against each
+    other only: a component keeps one of them beside the one that has an id."""
+    text = F.coalesce("text", F.lit(""))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.unhex(F.sha2(text, 256)).alias("text"))
+    keyed = docs.withColumn("__key", key)
+    # Equal keys have equal texts, so a component's smallest key stands in no other one.
+    found = near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text"), width)
+    state = stored(found.groupBy(F.col("doc_id").alias("__key"), "component_id").agg((F.count("*") > 1).alias("repeated")), "kept")
+    nameless = state.where("__key.none")
+    last = nameless.groupBy("component_id").agg(F.min("__key").alias("__key"))
+    gone = state.where("NOT __key.none AND __key != component_id").select("__key").unionByName(nameless.select("__key").join(last, "__key", "left_anti"))
+    # As many keys as there are copies, so never broadcast: the plan is the same at every size.
+    kept = keyed.join(gone.hint("merge"), "__key", "left_anti")
+    again = state.where("repeated").select("__key")
     if again.isEmpty():
-        return kept
-    on = kept["doc_id"] == again["__again"]
-    rest = [c for c in kept.columns if c not in ("doc_id", "text")]
+        return kept.select(*docs.columns)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     row = F.struct("text", F.struct(*rest) if rest else F.lit(0))
-    one = kept.join(again, on, "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*kept.columns), row).alias("r")).select("r.*")
-    return kept.join(again, on, "left_anti").unionByName(one)
+    one = kept.join(again, "__key", "left_semi").groupBy("__key").agg(F.min_by(F.struct(*docs.columns), row).alias("r")).select("r.*")
+    return kept.join(again, "__key", "left_anti").select(*docs.columns).unionByName(one)

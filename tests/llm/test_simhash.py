@@ -86,3 +86,10 @@ def test_rows(spark):
     kept = keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["None"] + [str(i) for i in set(least.values())])
+
+
+def test_rows_of_one_id_and_of_none(spark):
+    text, other, third = (" ".join(f"{c}{i}" for i in range(400)) for c in "abc")
+    rows = [(1, text), (1, other), (2, other + " x"), (1, text), (None, third), (None, third + " x"), (None, third), (None, "alone"), (4, text + " x"), (5, None), (5, "")]
+    kept = keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, (r.text or "")[:2]) for r in kept), key=str) == sorted([(1, "a0"), (1, "b0"), (None, "c0"), (None, "al"), (5, "")], key=str)
