@@ -1,8 +1,8 @@
 """Geometry as arrays of parts: WKB, measures, box clipping, projection and crossings of grid lines.
 
 A geometry is a struct of a type code (0 point, 1 line, 2 polygon, 3 to 5 their collections) and parts,
-each an array of (x, y); the rings of a polygon are parts, the outer one first. Measures are
-expressions; WKB and clipping, which take bytes and loops apart, are Arrow UDFs."""
+each an array of (x, y); the rings of a polygon are parts, the outer one first, and an empty part stands
+between the polygons of a collection. Measures are expressions; WKB and clipping, which take bytes and loops apart, are Arrow UDFs."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ import math
 import struct
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import PandasUDFType
@@ -17,6 +18,22 @@ from pyspark.sql.functions import PandasUDFType
 GEOMETRY = "struct<type:tinyint,parts:array<array<struct<x:double,y:double>>>>"
 
 
+def polygons(parts: list[list]) -> list[list[list]]:
+    """The rings of each polygon of a collection."""
+    out: list[list[list]] = [[]] if parts else []
+    for part in parts:
+        if part:
+            out[-1].append(part)
+        else:
+            out.append([])
+    return out
+
+
+def joined(each: list[list[list]]) -> list[list]:
+    """The parts of a collection of polygons; those without a ring are left out."""
+    return [part for k, rings in enumerate(filter(None, each)) for part in ([[]] if k else []) + rings]
+
+
 def from_wkb(data: bytes) -> tuple[int, list[list[tuple[float, float]]]]:
     """Type code and parts of little- or big-endian WKB; further dimensions are dropped."""
     at = 0
@@ -48,7 +65,9 @@ def from_wkb(data: bytes) -> tuple[int, list[list[tuple[float, float]]]]:
             return 1, [points(number("I", order))]
         if kind == 3:
             return 2, [points(number("I", order)) for _ in range(number("I", order))]
-        if kind in (4, 5, 6):
+        if kind == 6:
+            return 5, joined([[ring for ring in one()[1] if ring] for _ in range(number("I", order))])
+        if kind in (4, 5):
             return kind - 1, [part for _ in range(number("I", order)) for part in one()[1]]
         raise ValueError(f"unknown geometry type {kind}")
 
@@ -56,7 +75,7 @@ def from_wkb(data: bytes) -> tuple[int, list[list[tuple[float, float]]]]:
 
 
 def to_wkb(kind: int, parts: list[list[tuple[float, float]]]) -> bytes:
-    """Little-endian WKB of points, lines, polygons, and collections of points or lines."""
+    """Little-endian WKB of points, lines, polygons and their collections."""
     line = lambda p: struct.pack("<I", len(p)) + b"".join(struct.pack("<2d", *q) for q in p)
     head = lambda k: struct.pack("<BI", 1, k)
     if kind == 0:
@@ -67,6 +86,9 @@ def to_wkb(kind: int, parts: list[list[tuple[float, float]]]) -> bytes:
         return head(3) + struct.pack("<I", len(parts)) + b"".join(map(line, parts))
     if kind in (3, 4):
         return head(kind + 1) + struct.pack("<I", len(parts)) + b"".join(to_wkb(kind - 3, [p]) for p in parts)
+    if kind == 5:
+        each = polygons(parts)
+        return head(6) + struct.pack("<I", len(each)) + b"".join(to_wkb(2, rings) for rings in each)
     raise ValueError(f"can't write geometry type {kind}")
 
 
@@ -83,10 +105,10 @@ def decode(wkb: Column | str) -> Column:
 def encode(kind: Column | str, parts: Column | str) -> Column:
     """WKB of a geometry's type code and parts."""
 
-    def run(kinds: pd.Series, each: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None else to_wkb(int(k), [[(q["x"], q["y"]) for q in part] for part in p]) for k, p in zip(kinds, each)])
+    def run(kinds: pa.Array, each: pa.Array) -> pa.Array:
+        return pa.array([None if p is None else to_wkb(int(k), [[(q["x"], q["y"]) for q in part] for part in p]) for k, p in zip(kinds.to_pylist(), each.to_pylist())], pa.binary())
 
-    return F.pandas_udf(run, "binary", PandasUDFType.SCALAR)(kind, parts)
+    return F.arrow_udf(run, "binary")(kind, parts)
 
 
 def _pairs(points: Column) -> Column:
@@ -104,9 +126,13 @@ def signed_area(ring: Column) -> Column:
 
 
 def area(parts: Column) -> Column:
-    """Of a polygon: the outer ring without its holes."""
-    sizes = F.transform(parts, lambda r: F.abs(signed_area(r)))
-    return F.aggregate(F.slice(sizes, F.lit(2), F.greatest(F.lit(0), F.size(sizes) - 1)), F.element_at(sizes, 1), lambda s, a: s - a)
+    """Of a polygon or several: the outer rings without their holes."""
+
+    def add(state: Column, ring: Column) -> Column:
+        size = F.abs(signed_area(ring))
+        return F.struct((F.size(ring) == 0).alias("outer"), (state["total"] + F.when(state["outer"], size).otherwise(-size)).alias("total"))
+
+    return F.aggregate(parts, F.struct(F.lit(True).alias("outer"), F.lit(0.0).alias("total")), add, lambda s: s["total"])
 
 
 def bounds(parts: Column) -> Column:
@@ -187,9 +213,9 @@ def clip_ring(ring: list[tuple[float, float]], box: tuple[float, float, float, f
 def clip(kind: Column | str, parts: Column | str, *box: Column) -> Column:
     """Lines and polygons cut to a box (min_x, min_y, max_x, max_y), points kept if inside (upper sides excluded)."""
 
-    def run(kinds: pd.Series, each: pd.Series, min_x: pd.Series, min_y: pd.Series, max_x: pd.Series, max_y: pd.Series) -> pd.Series:
+    def run(kinds: pa.Array, each: pa.Array, min_x: pa.Array, min_y: pa.Array, max_x: pa.Array, max_y: pa.Array) -> pa.Array:
         out = []
-        for k, geometry, *sides in zip(kinds, each, min_x, min_y, max_x, max_y):
+        for k, geometry, *sides in zip(*(column.to_pylist() for column in (kinds, each, min_x, min_y, max_x, max_y))):
             if geometry is None:
                 out.append(None)
                 continue
@@ -199,11 +225,12 @@ def clip(kind: Column | str, parts: Column | str, *box: Column) -> Column:
             elif k in (1, 4):
                 found = [piece for part in lists for piece in clip_line(part, tuple(sides))]
             else:
-                found = [ring for part in lists if (ring := clip_ring(part, tuple(sides)))]
+                # What is left of a polygon begins with its outer ring: holes don't reach beyond it.
+                found = joined([[ring for part in rings if (ring := clip_ring(part, tuple(sides)))] for rings in polygons(lists)])
             out.append([[{"x": x, "y": y} for x, y in part] for part in found])
-        return pd.Series(out)
+        return pa.array(out, each.type)
 
-    return F.pandas_udf(run, "array<array<struct<x:double,y:double>>>", PandasUDFType.SCALAR)(kind, parts, *box)
+    return F.arrow_udf(run, "array<array<struct<x:double,y:double>>>")(kind, parts, *box)
 
 
 def line_crossings(points: list[tuple[float, float]], step: float) -> list[tuple[int, int, float]]:

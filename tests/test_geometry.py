@@ -32,6 +32,23 @@ def test_measures_and_udfs(spark):
     assert [tuple(q) for q in cut.where("id = 2").first().p[0]] == [(0, 0), (1.125, 1.5)]
 
 
+def test_several_polygons(spark):
+    box = lambda x, y, w, h: [(x, y), (x + w, y), (x + w, y + h), (x, y + h), (x, y)]
+    parts = [box(0.0, 0.0, 3.0, 2.0), box(1.0, 0.5, 1.0, 1.0), [], box(10.0, 0.0, 3.0, 1.0)]  # areas 5 and 3
+    wkb = g.to_wkb(5, parts)
+    assert g.from_wkb(wkb) == (5, parts) and g.from_wkb(g.to_wkb(5, [])) == (5, [])
+    ring = lambda r: __import__("struct").pack(">I", len(r)) + b"".join(__import__("struct").pack(">2d", *q) for q in r)
+    head = lambda k, n: b"\x00" + __import__("struct").pack(">II", k, n)
+    assert g.from_wkb(head(6, 3) + head(3, 2) + ring(parts[0]) + ring(parts[1]) + head(3, 0) + head(3, 1) + ring(parts[3])) == (5, parts)
+    df = spark.createDataFrame([(wkb,)], "wkb binary").withColumn("geo", g.decode("wkb"))
+    cut = lambda *sides: g.clip("geo.type", "geo.parts", *map(F.lit, sides))
+    got = df.select(
+        g.area(F.col("geo.parts")).alias("all"), g.area(cut(0.0, 0.0, 11.0, 9.0)).alias("both"), g.area(cut(9.0, 0.0, 20.0, 0.5)).alias("second"), g.area(cut(5.0, 5.0, 6.0, 6.0)).alias("none"),
+        g.encode("geo.type", "geo.parts").alias("again"), g.bounds(F.col("geo.parts")).alias("bounds"),
+    ).first()
+    assert (got["all"], got.both, got.second, got.none) == (8, 6, 1.5, 0) and bytes(got.again) == wkb and tuple(got.bounds) == (0, 0, 13, 2)
+
+
 def test_clipping_keeps_lengths_and_areas():
     rng = random.Random(1)
     length = lambda ps: sum(math.dist(a, b) for p in ps for a, b in zip(p, p[1:]))
