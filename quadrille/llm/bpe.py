@@ -2,10 +2,12 @@
 
 Every prefix of a piece has exactly one encoding by the merges, so the last token of that encoding is
 a function of the prefix. The machine runs over all places from which a vocabulary entry may still
-grow at once, as one state; a token is written as soon as each of these places has it in its
-encoding, which is after a lookahead bounded by the longest entry. States and arcs are made when
-first asked for and dropped all together beyond a bound, as lazy automata do; what is dropped is made
-again, so results don't depend on the bound.
+grow at once, as one state; an arc gives the last token of what has been read. A place is dropped as
+soon as no entry that may stand there is left. Once the end of what has been read is the only place,
+all tokens up to it are certain and are written; where several places stay on and on, those that all of
+them have in common are, so each token is written after a lookahead bounded by the longest entry.
+States and arcs are made when first asked for and dropped all together beyond a bound, as lazy automata
+do; what is dropped is made again, so results don't depend on the bound.
 
 Two tokens may stand side by side exactly if the merges turn their joined bytes back into the two.
 """
@@ -16,7 +18,10 @@ import base64
 import hashlib
 import math
 import re
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +32,14 @@ from quadrille.llm.common import slices
 
 #: Unicode white space as the pattern's \s has it. Fixed value.
 WHITE = "\t-\r \x85\xa0  -     　"
-#: Cuts of a text at which a match of the pattern always begins: what stands between white space, with one space before it.
+#: The pattern that the cuts below are made for; texts are cut by any other pattern itself. Fixed value.
+CUT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Cuts of a text at which a match of that pattern always begins: what stands between white space, with one space before it.
 CHUNKS = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 MAX_STATES = 150_000
-MAX_CHUNKS = 300_000
+#: Encoded strings that are kept at hand in each of two generations, and the longest of them.
+MAX_CHUNKS = 250_000
+LONGEST_CHUNK = 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -54,9 +63,14 @@ def merge(ranks: dict[bytes, int], piece: bytes, stop: int = 1) -> list[bytes]:
 class Transducer:
     """encode(piece) gives the ranks of a piece's tokens; stream(bytes) the same, as they become certain.
 
-    A state is the set of places from which an entry may still grow: the bytes since the first of
-    them, and the last token before each. An arc gives the next state and the last token of what has
-    been read. A token is certain once every such place has it in its encoding."""
+    A state is the set of places from which an entry may still grow: for each the node of the
+    vocabulary's trie that the bytes since then lead to, and which entries may stand there, either as
+    the last token before the place or, where few are left, as these entries themselves."""
+
+    #: Entries below a node up to which those that may stand at a place are listed.
+    FEW = 16
+    #: Bytes after which the places are asked what they agree on, if the end is never the only one.
+    AGREE = 16
 
     def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
         self.ranks = ranks
@@ -64,36 +78,56 @@ class Transducer:
         missing = [b for b in range(256) if bytes([b]) not in ranks]
         if missing:
             raise ValueError(f"the ranks lack {len(missing)} single bytes")
-        self.prefixes = {t[:i] for t in ranks for i in range(1, len(t))}
-        self.longest = max(map(len, ranks))
+        self.entries = {rank: t for t, rank in ranks.items()}
         self.lengths = {rank: len(t) for t, rank in ranks.items()}
-        self._own: dict[bytes, bool] = {}
-        self._pairs: dict[tuple[bytes, bytes], bool] = {}
-        self._lefts: dict[bytes, list] = {}
-        self._rights: dict[bytes, list] = {}
+        # The trie: a node's entries are a range of all entries in order, its own (if any) the first.
+        ordered = sorted(ranks)
+        self.order = [ranks[t] for t in ordered]
+        self.child: dict[int, int] = {}
+        self.token, self.low, self.high = [-1], [0], [len(ordered)]
+        for i, entry in enumerate(ordered):
+            node = 0
+            for byte in entry:
+                to = self.child.get(node << 8 | byte)
+                if to is None:
+                    to = self.child[node << 8 | byte] = len(self.token)
+                    self.token.append(-1)
+                    self.low.append(i)
+                    self.high.append(i)
+                node = to
+                self.high[node] = i + 1
+            self.token[node] = ranks[entry]
+        self._own: dict[int, bool] = {}
+        self._pairs: dict[tuple[int, int], bool] = {}
+        self._lefts: dict[int, list] = {}
+        self._rights: dict[int, list] = {}
         self._clear()
 
     def _clear(self) -> None:
-        # A state: the bytes since the first place, and for each place how many bytes stand behind it and the last token before it.
-        self.states: list[tuple[bytes, tuple[tuple[int, bytes], ...]]] = [(b"", ((0, b""),))]
+        # A place: a node, and the last token before (-1: none) or, from -2 down, the number of a list of entries.
+        self.states: list[tuple[tuple[int, int], ...]] = [((0, -1),)]
         self.numbers = {self.states[0]: 0}
-        self.arcs: dict[int, tuple[int, int]] = {}
+        self.arcs: list[dict[int, tuple[int, int, bool]]] = [{}]
+        self.behind: list[tuple[int, ...]] = [(0,)]  # how many bytes stand behind each place
+        self.lists: list[tuple[int, ...]] = []
+        self.list_numbers: dict[tuple[int, ...], int] = {}
+        self.moves: dict[tuple[int, int], tuple[bool, int | None]] = {}
 
-    def _reachable(self, token: bytes) -> bool:
+    def _reachable(self, rank: int) -> bool:
         """Whether the merges make the token out of its own bytes."""
-        known = self._own.get(token)
+        known = self._own.get(rank)
         if known is None:
-            known = self._own[token] = merge(self.ranks, token) == [token]
+            known = self._own[rank] = merge(self.ranks, self.entries[rank]) == [self.entries[rank]]
         return known
 
-    def _spine(self, token: bytes, left: bool) -> list[tuple[bytes, float, float]]:
+    def _spine(self, rank: int, left: bool) -> list[tuple[bytes, float, float]]:
         """The parts that stand at the token's left or right edge while the merges make it: each with
         the rank that makes it and the rank that uses it up."""
         cache = self._lefts if left else self._rights
-        known = cache.get(token)
+        known = cache.get(rank)
         if known is None:
-            parts, until = [token], math.inf
-            known = cache[token] = []
+            parts, until = [self.entries[rank]], math.inf
+            known = cache[rank] = []
             while True:
                 edge = parts[0] if left else parts[-1]
                 known.append((edge, self.ranks[edge] if len(edge) > 1 else -1, until))
@@ -103,11 +137,11 @@ class Transducer:
                 parts = merge(self.ranks, edge, 2)
         return known
 
-    def _beside(self, left: bytes, right: bytes) -> bool:
+    def _beside(self, left: int, right: int) -> bool:
         """Whether no merge joins parts of both: for such parts to be joined they must stand there at
         the same time, and the rank that joins them must come before those that use them up; of equal
-        ranks the one further left comes first."""
-        if not left:
+        ranks the one further left comes first. Left of the first token is -1."""
+        if left < 0:
             return True
         known = self._pairs.get((left, right))
         if known is None:
@@ -123,40 +157,73 @@ class Transducer:
             self._pairs[left, right] = known
         return known
 
-    def _arc(self, number: int, byte: int) -> tuple[int, int]:
-        since, places = self.states[number]
-        since += bytes([byte])
-        n, last = len(since), b""
-        for behind, before in places:
-            token = since[n - behind - 1 :]
-            if token in self.ranks and self._reachable(token) and self._beside(before, token):
-                last = token
-                break
-        kept = [(behind + 1, before) for behind, before in places if since[n - behind - 1 :] in self.prefixes]
+    def _move(self, node: int, before: int) -> tuple[bool, int | None]:
+        """Whether the node's own entry may stand at a place, and what may stand there of those below
+        the node (as in a state); None if nothing may."""
+        own, listed = self.token[node], self.lists[-2 - before] if before < -1 else None
+        fits = (lambda r: r in listed) if listed is not None else (lambda r: self._reachable(r) and self._beside(before, r))
+        stands = own >= 0 and fits(own)
+        below = self.order[self.low[node] + (own >= 0) : self.high[node]]
+        if listed is None and len(below) > self.FEW:
+            return stands, before
+        left = tuple([r for r in below if fits(r)])
+        if not left:
+            return stands, None
+        number = self.list_numbers.get(left)
+        if number is None:
+            number = self.list_numbers[left] = -2 - len(self.lists)
+            self.lists.append(left)
+        return stands, number
+
+    def _arc(self, number: int, byte: int) -> tuple[int, int, bool]:
+        child, moves, last, kept, behind = self.child.get, self.moves, None, [], []
+        for (node, before), back in zip(self.states[number], self.behind[number]):  # the longest token first
+            to = child(node << 8 | byte)
+            if to is None:
+                continue
+            move = moves.get((to, before))
+            if move is None:
+                move = moves[to, before] = self._move(to, before)
+            if move[0] and last is None:
+                last = self.token[to]
+            if move[1] is not None:
+                kept.append((to, move[1]))
+                behind.append(back + 1)
+        assert last is not None
         kept.append((0, last))
-        state = (since[n - kept[0][0] :], tuple(kept))
+        behind.append(0)
+        state = tuple(kept)
         to = self.numbers.get(state)
         if to is None:
             to = self.numbers[state] = len(self.states)
             self.states.append(state)
-        arc = self.arcs[number << 8 | byte] = (to, self.ranks[last])
+            self.arcs.append({})
+            self.behind.append(tuple(behind))
+        arc = self.arcs[number][byte] = (to, last, len(kept) == 1)
         return arc
 
     def stream(self, piece: Iterable[int]) -> Iterator[int]:
         """The ranks as they become certain, while the bytes of a piece arrive."""
-        state, lasts = 0, []  # lasts: the last token at each place that isn't written yet
+        state, arcs = 0, self.arcs
+        lasts: list[int] = []  # the last token at each place that isn't written yet
         for byte in piece:
-            state, last = self.arcs.get(state << 8 | byte) or self._arc(state, byte)
+            state, last, alone = arcs[state].get(byte) or self._arc(state, byte)
             lasts.append(last)
-            chains = [self._chain(lasts, len(lasts) - behind) for behind, _ in self.states[state][1]]
-            shared = 0
-            while all(len(c) > shared for c in chains) and len({c[shared] for c in chains}) == 1:
-                shared += 1
-            yield from chains[0][:shared]
-            del lasts[: sum(self.lengths[t] for t in chains[0][:shared])]
+            if alone:
+                yield from self._chain(lasts, len(lasts))
+                lasts.clear()
+            elif not len(lasts) % self.AGREE:
+                chains = [self._chain(lasts, len(lasts) - back) for back in self.behind[state]]
+                shared = 0
+                while all(len(c) > shared for c in chains) and len({c[shared] for c in chains}) == 1:
+                    shared += 1
+                yield from chains[0][:shared]
+                del lasts[: sum(self.lengths[t] for t in chains[0][:shared])]
         yield from self._chain(lasts, len(lasts))
 
     def _chain(self, lasts: list[int], at: int) -> list[int]:
+        if at == 1:
+            return lasts[:1]
         out = []
         while at > 0:
             out.append(lasts[at - 1])
@@ -169,37 +236,64 @@ class Transducer:
             return [known]
         if len(self.states) > self.max_states:
             self._clear()
-        state, lasts, get, arc = 0, [], self.arcs.get, self._arc
-        for byte in piece:
-            state, last = get(state << 8 | byte) or arc(state, byte)
+        state, arcs, out = 0, self.arcs, []
+        lasts: list[int] = []
+        for byte in piece:  # as in stream(), but what is certain is written without asking for agreement
+            state, last, alone = arcs[state].get(byte) or self._arc(state, byte)
             lasts.append(last)
-        return self._chain(lasts, len(lasts))
+            if alone:
+                if len(lasts) == 1:
+                    out.append(last)
+                else:
+                    out += self._chain(lasts, len(lasts))
+                lasts.clear()
+        return out + self._chain(lasts, len(lasts)) if lasts else out
+
+
+def as_bytes(ranks: list[int]) -> bytes:
+    return array("I", ranks).tobytes() if sys.byteorder == "little" else np.array(ranks, "<u4").tobytes()
 
 
 class Encoder:
-    """Whole texts: each match of the pattern separately, without special tokens."""
+    """Whole texts: each match of the pattern separately, without special tokens. Strings that were
+    encoded before are looked up in two generations: what the older one has moves to the newer, and
+    what is left in the older is forgotten when the newer is full."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, max_chunks: int = MAX_CHUNKS):
         self.transducer = Transducer(ranks)
         # \s is spelt out, so that both libraries agree on what white space is.
         self.pieces = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]"))
+        self.cut = CHUNKS.findall if pattern == CUT_PATTERN else self._matches
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.max_chunks = max_chunks
 
-    def _chunk(self, chunk: str) -> bytes:
-        encode = self.transducer.encode
-        ids = [i for piece in self.pieces.findall(chunk) for i in encode(piece.encode())]
-        out = np.array(ids, "<u4").tobytes()
-        if len(chunk) <= 64:
+    def _matches(self, text: str) -> list[str]:
+        return self.pieces.findall(text) if not self.pieces.groups else [m.group() for m in self.pieces.finditer(text)]
+
+    def _keep(self, text: str, ids: bytes) -> bytes:
+        if len(text) <= LONGEST_CHUNK:
             if len(self.known) >= self.max_chunks:
-                self.known.clear()
-            self.known[chunk] = out
-        return out
+                self.known, self.older = {}, self.known
+            self.known[text] = ids
+        return ids
+
+    def _chunk(self, chunk: str) -> bytes:
+        known = self.known.get(chunk) or self.older.get(chunk)
+        if known is not None:
+            return self._keep(chunk, known)
+        pieces = self._matches(chunk) if self.cut != self._matches else [chunk]
+        if len(pieces) == 1:
+            return self._keep(chunk, as_bytes(self.transducer.encode(chunk.encode())))
+        ids = []
+        for piece in pieces:
+            ids.append(self.known.get(piece) or self.older.get(piece) or self._keep(piece, as_bytes(self.transducer.encode(piece.encode()))))
+        return self._keep(chunk, b"".join(ids))
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         get, make = self.known.get, self._chunk
-        return b"".join([get(c) or make(c) for c in CHUNKS.findall(text)])
+        return b"".join([get(c) or make(c) for c in self.cut(text)])
 
 
 #: States of the UTF-8 machine: (bytes still missing, least and greatest next byte). Fixed values.
@@ -254,28 +348,33 @@ class Utf8Stream:
         return out
 
 
+#: Ids whose bytes the UTF-8 machine is fed at a time.
+DECODED_AT_ONCE = 4096
+
+
 class Decoder:
     def __init__(self, ranks: dict[bytes, int]):
         self.tokens: list[bytes | None] = [None] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
 
-    def decode(self, ids: bytes) -> bytes:
-        """The bytes of the ids; an id that the ranks lack raises KeyError."""
-        try:
-            return b"".join([self.tokens[i] for i in np.frombuffer(ids, "<u4").tolist()])
-        except (IndexError, TypeError):
-            raise KeyError("an id that the ranks lack") from None
-
     def stream(self, ids: Iterable[int]) -> Iterator[str]:
-        """The text as it becomes certain, while the ids arrive."""
-        utf8 = Utf8Stream()
-        for i in ids:
-            if text := utf8.feed(self.tokens[i]):
+        """The text as it becomes certain, while the ids arrive; an id that the ranks lack raises KeyError."""
+        utf8, ids = Utf8Stream(), iter(ids)
+        while block := list(islice(ids, DECODED_AT_ONCE)):
+            try:
+                data = b"".join([self.tokens[i] for i in block])
+            except (IndexError, TypeError):
+                raise KeyError("an id that the ranks lack") from None
+            if text := utf8.feed(data):
                 yield text
         if text := utf8.close():
             yield text
 
+    def decode(self, ids: bytes) -> str:
+        """The text of ids in little-endian unsigned 32-bit integers, through the same machine."""
+        return "".join(self.stream(np.frombuffer(ids, "<u4").tolist()))
+
 
 _WORKERS: dict[int, tuple] = {}
 
@@ -293,7 +392,8 @@ def _codec(shared) -> tuple[Encoder, Decoder]:
 def tokenize(docs: DataFrame, ranks_path: str, pattern: str, ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids (binary, little-endian unsigned 32-bit; only if asked for), ids_sha256,
     decoded_sha256 for each row of docs(doc_id, text); other columns are not looked at. A null or
-    empty text has no tokens, a null doc_id stays null, repeated rows stay repeated.
+    empty text has no tokens, a null doc_id stays null, repeated rows stay repeated. The ids are decoded
+    by the UTF-8 machine, block by block.
 
     No shuffle: rows are encoded where they are read. The vocabulary, broadcast, has a fixed size."""
     shared = docs.sparkSession.sparkContext.broadcast((read_ranks(ranks_path), pattern))
@@ -306,7 +406,7 @@ def tokenize(docs: DataFrame, ranks_path: str, pattern: str, ids: bool = True) -
             if ids:
                 columns["ids"] = pa.array(encoded, pa.binary())
             columns["ids_sha256"] = pa.array([hashlib.sha256(x).hexdigest() for x in encoded], pa.string())
-            columns["decoded_sha256"] = pa.array([hashlib.sha256(decoder.decode(x)).hexdigest() for x in encoded], pa.string())
+            columns["decoded_sha256"] = pa.array([hashlib.sha256(decoder.decode(x).encode()).hexdigest() for x in encoded], pa.string())
             yield pa.RecordBatch.from_pydict(columns)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -322,7 +422,7 @@ def detokenize(tokens: DataFrame, ranks_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(shared.value[0])
         for batch in batches:
-            texts = [None if x is None else "".join(decoder.stream(np.frombuffer(x, "<u4").tolist())) for x in batch.column(1).to_pylist()]
+            texts = [None if x is None else decoder.decode(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "text": pa.array(texts, pa.string())})
 
     return tokens.select("doc_id", "ids").mapInArrow(run, f"doc_id {tokens.schema['doc_id'].dataType.simpleString()}, text string")
