@@ -92,31 +92,54 @@ FROM docs LEFT JOIN counts USING (r) LEFT JOIN kept USING (r)
 
 
 def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The archive of all pages against a replica in which a byte of every fiftieth page is wrong."""
-    from quadrille.llm.warc import audit
-
-    pages = table(spark, sf_dir, "pages")
-    wrong = F.when(F.col("page_id") % 50 == 7, F.regexp_replace("html", "^([^<]*)<", "$1>")).otherwise(F.col("html"))
-    return audit(pages, pages.withColumn("html", wrong))
+    """An archive of all pages, written and read, against a copy of its files in which records were
+    changed: of every 50 one has a wrong byte, of every 5,000 one is lost and one has a byte more."""
+    from quadrille.llm.common import scratch_path
+    from quadrille.llm.warc import audit, copy, write
+
+    def change(rows: DataFrame) -> DataFrame:
+        number = F.coalesce(F.regexp_extract("id", "(-?[0-9]+)>", 1).cast("long"), F.lit(0))
+        end = "\r\n\r\n"
+        head = F.substring_index("value", end, 1)
+        body = F.expr("substring(value, length(substring_index(value, '\r\n\r\n', 1)) + 5)")
+        more = F.concat(F.regexp_replace(head, "[0-9]+$", ""), (F.regexp_extract(head, "([0-9]+)$", 1).cast("long") + 1).cast("string"), F.lit(end), body, F.lit("x"))
+        wrong = F.concat(head, F.lit(end), F.regexp_replace(body, "(?s)^([^<]*)<", "$1>"))
+        value = F.when(number % 50 == 7, wrong).when(number % 5000 == 23, more).otherwise(F.col("value"))
+        return rows.where(number % 5000 != 11).withColumn("value", value)
+
+    path, replica = scratch_path(spark, "archive"), scratch_path(spark, "replica")
+    write(table(spark, sf_dir, "pages"), path)
+    copy(spark, path, replica, change)
+    return audit(spark, path, replica)
 
 
 OP6_SQL = """
 WITH bodies AS (
   SELECT page_id, url, chr(13) || chr(10) AS e, coalesce(html, '') AS html,
-    CASE WHEN page_id % 50 = 7 THEN regexp_replace(coalesce(html, ''), '<', '>') ELSE coalesce(html, '') END AS other
+    CASE WHEN page_id % 50 = 7 THEN regexp_replace(coalesce(html, ''), '<', '>') WHEN page_id % 5000 = 23 THEN coalesce(html, '') || 'x' ELSE coalesce(html, '') END AS other
   FROM pages
-), records AS (
-  SELECT page_id, url, html = other AS intact, 'WARC/1.0' || e || 'WARC-Type: resource' || e || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), 'none')
+), heads AS (
+  SELECT *, 'WARC/1.0' || e || 'WARC-Type: resource' || e || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), 'none')
     || '>' || e || 'WARC-Date: 1970-01-01T00:00:00Z' || e || 'WARC-Target-URI: ' || translate(coalesce(url, ''), e, '  ')
-    || e || 'Content-Type: text/html' || e || 'Content-Length: ' || strlen(html) || e || e || html || e || e AS record
+    || e || 'Content-Type: text/html' || e || 'Content-Length: ' AS head
   FROM bodies
-), leaves AS (
-  SELECT CAST(coalesce(floor(page_id / 256), -1) AS BIGINT) AS file, page_id, url, CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS sha256, count(*) AS copies, bool_and(intact) AS intact
-  FROM records GROUP BY ALL
+), records AS (
+  SELECT page_id, url, '<urn:page:' || coalesce(CAST(page_id AS VARCHAR), 'none') || '>' AS id, trim(translate(coalesce(url, ''), e, '  ')) AS uri,
+    head || strlen(html) || e || e || html || e || e AS record, head || strlen(other) || e || e || other || e || e AS changed, coalesce(page_id % 5000 = 11, false) AS lost
+  FROM heads
+), hashed AS (
+  SELECT *, sha256(record) AS sha256, CAST(strlen(record) AS BIGINT) AS length, CASE WHEN lost THEN 0 ELSE strlen(changed) END AS left_length FROM records
+), files AS (
+  SELECT *, CAST(coalesce(floor(page_id / 65536), -1) * 64 + CAST('0x' || substr(sha256, 1, 4) AS BIGINT) % 64 AS BIGINT) AS file FROM hashed
+), parts AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY file ORDER BY page_id NULLS FIRST, url NULLS FIRST, sha256) - 1 AS BIGINT) // 4096 AS part FROM files
+), placed AS (
+  SELECT *, CAST(coalesce(sum(length) OVER w, 0) AS BIGINT) AS "offset", CAST(coalesce(sum(left_length) OVER w, 0) AS BIGINT) AS there
+  FROM parts WINDOW w AS (PARTITION BY file, part ORDER BY page_id NULLS FIRST, url NULLS FIRST, sha256 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), told AS (
+  SELECT *, CASE WHEN lost THEN 'lost' WHEN record <> changed THEN 'damaged' WHEN "offset" <> there THEN 'moved' ELSE 'intact' END AS verdict FROM placed
 )
-SELECT file, row_number() OVER w - 1 AS place, page_id, url, CAST(coalesce(sum(length * copies) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
-  length, copies, sha256, intact
-FROM leaves WINDOW w AS (PARTITION BY file ORDER BY page_id NULLS FIRST, url NULLS FIRST, sha256)
+SELECT file, part, "offset", length, id, uri, sha256, verdict, verdict IN ('intact', 'moved') AS intact FROM told
 """
 
 
