@@ -2,8 +2,9 @@
 
 A sentence's score is a logistic function of its words and the beginnings of its words. A document is
 toxic if any sentence is, so the scores are combined by noisy-or: one minus the product of what each
-sentence leaves. Only documents have labels; the likelihood of these is what the sentence weights are
-fitted to. The fitted sentence scores then tell which sentences offend.
+sentence leaves. A sentence without any of the words that tell has score 0, so however many of them a
+long text has, they add nothing. Only documents have labels; the likelihood of these is what the
+sentence weights are fitted to. The fitted sentence scores then tell which sentences offend.
 """
 
 from __future__ import annotations
@@ -22,6 +23,10 @@ from quadrille.llm.training import ROWS_OF_A_LABEL, fold, sample
 #: Features that the weights are fitted for, at most, and documents of label 1 that each must be in.
 FEATURES = 4096
 LEAST_DOCS = 4
+#: How many times as often a feature must be in documents of label 1 as in others, and the least logarithm
+#: of the odds against chance: what is a little more frequent in toxic texts only would add up in long ones.
+TELLING = 4.0
+AGAINST_CHANCE = 20.0
 #: Bytes of the beginnings of words that are features beside the whole word.
 PREFIXES = range(3, 10)
 TABLE_BITS = 22
@@ -106,8 +111,9 @@ class Model:
         """Each row's noisy-or, the sentences and each sentence's score."""
         s, which, k = self.bags(data, offsets)
         z = self.bias + np.bincount(which, self.weights[k], minlength=len(s.rows))
+        z[np.bincount(which, minlength=len(s.rows)) == 0] = -np.inf  # no feature, score 0
         left = np.bincount(s.rows, -np.logaddexp(0, z), minlength=len(offsets) - 1)
-        return -np.expm1(left), s, 1 / (1 + np.exp(-z))
+        return np.abs(np.expm1(left)), s, 1 / (1 + np.exp(-z))
 
 
 def fit(texts: pa.ChunkedArray, labels: np.ndarray, counts: dict[int, int], rounds: int = 400) -> Model:
@@ -130,9 +136,9 @@ def fit(texts: pa.ChunkedArray, labels: np.ndarray, counts: dict[int, int], roun
             values.sort()
             seen[0] = np.searchsorted(values, keys, side="right") - np.searchsorted(values, keys)
     rate1, rate0 = (seen[1] + 0.5) / (n[1] + 1), (seen[0] + 0.5) / (n[0] + 1)
-    gain = np.where(rate1 > rate0, seen[1] * np.log(rate1 / rate0), 0)
+    gain = np.where(rate1 >= TELLING * rate0, seen[1] * np.log(rate1 / rate0), 0)
     best = np.sort(np.argsort(-gain, kind="stable")[:FEATURES])
-    best = best[gain[best] > 3]
+    best = best[gain[best] > AGAINST_CHANCE]
     model = Model(keys[best], np.zeros(len(best)), -8.0)
     if not len(best):
         return nothing
@@ -144,6 +150,9 @@ def fit(texts: pa.ChunkedArray, labels: np.ndarray, counts: dict[int, int], roun
         feature.append(k)
         base += len(s.rows)
     doc, which, feature = np.concatenate(doc), np.concatenate(which), np.concatenate(feature)
+    # Sentences without a feature have score 0 and no part in the likelihood.
+    telling, which = np.unique(which, return_inverse=True)
+    doc, base = doc[telling], len(telling)
     weight = np.array([(counts.get(int(y), 0) or 1) / n[int(y)] for y in labels])
     weight /= weight.sum()
     w, b = np.full(len(best), 0.5), -8.0
