@@ -2,17 +2,20 @@
 
 Each rule's regular expression is taken apart into a Boolean query of trigrams that every match must
 contain: an alternation of sets of trigrams, or none at all. The index lists, for each trigram that a
-query mentions, the documents that contain it (letters folded); it is written to the shared folder.
-Lists are intersected by document: a document's trigrams meet as bits, and a rule has it as a
-candidate if all bits of one of its sets are there. Rules without mandatory trigrams scan all
-documents. Candidates are verified by the rule's own expression over the whole text.
+query mentions, the documents that contain it (letters folded), by a hash of their id and text, so that
+many rows of one id or without one are not one document; it is written to the shared folder. It has
+the trigrams of the rules at hand only: other rules need an index of their own. Lists are intersected by
+document: a document's trigrams meet as bits, and a rule has it as a candidate if all bits of one of its
+sets are there. Rules without mandatory trigrams scan all documents. Candidates are joined to the
+documents by that hash, by merge at every size, and verified by the rule's own expression over the
+whole text. Two documents of one hash would be candidates together, which verification mends.
 """
 
 from __future__ import annotations
 
 import re._constants as rc
 import re._parser as rp
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from itertools import product
 
@@ -24,10 +27,8 @@ from quadrille.llm.common import stored
 #: Strings that a part of an expression is spelt out to, at most; beyond, it counts as unknown.
 MAX_STRINGS = 64
 MAX_CLASS = 4
-#: Candidate rows that may be broadcast (an id and a few bytes each); more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
-#: Matches that are summed up together when positions are worked out.
-BLOCK = 64
+#: Characters in the blocks that a text is cut into, to take pieces out of it.
+BLOCK = 256
 
 
 @dataclass(frozen=True)
@@ -145,22 +146,27 @@ def trigrams(rules: Sequence[Rule]) -> list[str]:
     return sorted({g for r in rules for q in trigram_query(r.pattern) for g in q})
 
 
+def key_of(docs: DataFrame) -> Column:
+    """By which the index names a document; equal rows have the same."""
+    return F.xxhash64(docs["doc_id"], docs["text"])
+
+
 def build_index(docs: DataFrame, grams: Sequence[str]) -> DataFrame:
-    """trigram, doc_id: the documents that contain each of the given trigrams, ASCII letters folded.
-    A null text contains none; rows of one doc_id count together, those without one too."""
+    """trigram, key: the documents that contain each of the given trigrams, ASCII letters folded. A null
+    text contains none."""
     low = F.lower(F.coalesce("text", F.lit("")))
     listed = [F.when(F.contains(F.col("low"), F.lit(g)), F.lit(g)) for g in grams] or [F.lit(None).cast("string")]
-    found = docs.select("doc_id", low.alias("low")).select("doc_id", F.explode(F.array_compact(F.array(*listed))).alias("trigram"))
-    return found.select("trigram", "doc_id")
+    found = docs.select(key_of(docs).alias("key"), low.alias("low")).select("key", F.explode(F.array_compact(F.array(*listed))).alias("trigram"))
+    return found.select("trigram", "key")
 
 
 def candidates(index: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """doc_id, rules (array of the kinds whose query it satisfies), for rules with mandatory trigrams."""
+    """key, rules (array of the kinds whose query the document satisfies), for rules with mandatory trigrams."""
     grams = trigrams(rules)
     bit = {g: (k // 62, k % 62) for k, g in enumerate(grams)}
     words = -(-len(grams) // 62) or 1
     masks = [F.coalesce(F.bit_or(F.coalesce(_choose({g: 1 << b for g, (w, b) in bit.items() if w == k}), F.lit(0).cast("long"))), F.lit(0).cast("long")).alias(f"m{k}") for k in range(words)]
-    met = index.groupBy("doc_id").agg(*masks)
+    met = index.groupBy("key").agg(*masks)
     kinds = []
     for r in rules:
         query = trigram_query(r.pattern)
@@ -176,7 +182,7 @@ def candidates(index: DataFrame, rules: Sequence[Rule]) -> DataFrame:
             alternatives = alternatives | every
         kinds.append(F.when(alternatives, F.lit(r.kind)))
     held = F.array_compact(F.array(*kinds)) if kinds else F.array().cast("array<string>")
-    return met.select("doc_id", held.alias("rules")).where(F.size("rules") > 0)
+    return met.select("key", held.alias("rules")).where(F.size("rules") > 0)
 
 
 def _choose(values: dict[str, int]) -> Column:
@@ -191,40 +197,52 @@ def _quick(rule: Rule) -> str:
     return rule.pattern[:-1] + "{%d,}" % rule.least if rule.group == 0 and rule.least > 1 and rule.pattern.endswith("]+") and rule.pattern.startswith("[") else rule.pattern
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), value being worked out once for each row."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+#: Doublings after which a running total covers any array.
+DOUBLINGS = 31
+
+
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """What join makes of all values up to each place, in about n log n steps: at each, every place is
+    joined with the one twice as far before it."""
+    def doubled(step: int) -> Callable[[Column], Column]:
+        return lambda a: F.when(F.size(a) <= step, a).otherwise(F.transform(a, lambda x, i: F.when(i >= step, join(F.get(a, i - step), x)).otherwise(x)))
+
+    for k in range(DOUBLINGS):
+        values = let(values, doubled(1 << k))
+    return values
+
+
+SPANS = "array<struct<start:bigint,end:bigint>>"
+
+
 def spans_of(text: Column, rule: Rule) -> Column:
     """The rule's spans in a text, as an array of (start, end) in code points. What lies between matches
-    is cut out by the same expression; positions are sums of lengths, block by block, so that a text
-    with very many matches takes time in proportion to them."""
+    is cut out by the same expression; a match ends at the running total of the lengths, so that a
+    text with very many matches takes time about in proportion to them."""
     pattern = F.lit(_quick(rule))
-    parts = F.transform(F.split(text, _quick(rule), -1), lambda x: F.length(x).cast("long"))
-    matches = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda x: F.length(x).cast("long"))
+    between = F.transform(F.split(text, _quick(rule), -1), lambda x: F.length(x).cast("long"))
+    lengths = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda x: F.length(x).cast("long"))
     kept = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), lambda x: F.length(x) >= rule.least)
-    cells = F.transform(F.arrays_zip(matches.alias("m"), kept.alias("k"), F.slice(parts, F.lit(1), F.size(matches)).alias("p")), lambda x: F.struct(x["p"].alias("p"), x["m"].alias("m"), x["k"].alias("k")))
-    zero = F.lit(0).cast("long")
-
-    def total(part: Column) -> Column:
-        return F.aggregate(part, zero, lambda a, x: a + x["p"] + x["m"])
 
-    def placed(cells: Column) -> Column:
-        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(cells) - 1) / BLOCK).cast("int")), lambda b: F.slice(cells, b * BLOCK + 1, F.lit(BLOCK)))
-        sums = F.aggregate(blocks, F.array(zero), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + total(x))))
-        located = F.transform(
-            F.arrays_zip(blocks.alias("b"), F.slice(sums, F.lit(1), F.size(blocks)).alias("s")),
-            lambda z: F.transform(z["b"], lambda x, j: F.struct((z["s"] + total(F.slice(z["b"], F.lit(1), j)) + x["p"]).alias("start"), (z["s"] + total(F.slice(z["b"], F.lit(1), j)) + x["p"] + x["m"]).alias("end"), x["k"].alias("k"))),
-        )
-        return F.transform(F.filter(F.flatten(located), lambda x: x["k"]), lambda x: F.struct(x["start"], x["end"]))
+    def placed(m: Column) -> Column:
+        each = let(between, lambda p: F.transform(m, lambda x, i: F.get(p, i) + x))
+        ends = running(each, lambda a, b: a + b)
+        spans = let(ends, lambda e: F.transform(m, lambda x, i: F.struct((F.get(e, i) - x).alias("start"), F.get(e, i).alias("end"))))
+        return let(kept, lambda k: F.filter(spans, lambda s, i: F.get(k, i))) if rule.least > 1 else spans
 
-    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    return F.when(text.rlike(_quick(rule)), placed(cells)).otherwise(none)
+    return F.when(text.rlike(_quick(rule)), let(lengths, placed)).otherwise(F.array().cast(SPANS))
 
 
 def _marked(docs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """docs and __rules: the kinds to verify in each row, besides those that scan fully."""
     index = stored(build_index(docs, trigrams(rules)), "trigrams")
-    found = stored(candidates(index, rules), "candidates").select(F.col("doc_id").alias("__id"), F.col("rules").alias("__rules"))
-    # The size is known, since the table is written; a larger one is joined by a shuffle.
-    found = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("__id")), "left").drop("__id")
+    found = stored(candidates(index, rules), "candidates").select(F.col("key").alias("__key"), F.col("rules").alias("__rules"))
+    return docs.withColumn("__key", key_of(docs)).join(found.hint("merge"), "__key", "left").drop("__key")
 
 
 def _spans(docs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -235,7 +253,7 @@ def _spans(docs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     for k, r in enumerate(rules):
         spans = spans_of(text, r)
         if frozenset() not in trigram_query(r.pattern):
-            spans = F.when(F.array_contains("__rules", r.kind), spans).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>"))
+            spans = F.when(F.array_contains("__rules", r.kind), spans).otherwise(F.array().cast(SPANS))
         out.append(spans.alias(f"__s{k}"))
     return found.select(*docs.columns, *out)
 
@@ -262,21 +280,40 @@ def scan(docs: DataFrame, added: Sequence[Rule] = ADDED) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_joined(columns[: len(BASE)], BASE), 256).alias("base_sha256"), _joined(columns, rules).alias("spans"))
 
 
+def without(text: Column, spans: Column, mask: str) -> Column:
+    """text with its spans, in order, replaced by mask; those that overlap together. What stays is put
+    together from blocks of the text, so the time is about in proportion to text and spans."""
+    blocks = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % BLOCK), F.lit(0))
+
+    def piece(cut: Column, start: Column, end: Column) -> Column:
+        def part(i: Column) -> Column:
+            first = F.greatest(start - i * BLOCK, F.lit(0))
+            return F.substring(F.get(cut, i.cast("int")), (first + 1).cast("int"), (F.least(end - i * BLOCK, F.lit(BLOCK)) - first).cast("int"))
+
+        numbers = F.sequence(F.floor(start / BLOCK), F.floor((end - 1) / BLOCK))
+        return F.when(start < end, F.array_join(F.transform(numbers, part), "")).otherwise(F.lit(""))
+
+    def clean(s: Column) -> Column:
+        covered = running(F.transform(s, lambda x: x["end"]), F.greatest)  # how far the spans up to each reach
+
+        def joined(cut: Column, e: Column) -> Column:
+            each = F.transform(s, lambda x, i: F.struct(F.when(i > 0, F.get(e, i - 1)).otherwise(F.lit(0).cast("long")).alias("from"), x["start"].alias("to")))
+            stays = F.filter(each, lambda x: x["from"] <= x["to"])
+            return F.concat(F.array_join(F.transform(stays, lambda x: F.concat(piece(cut, x["from"], x["to"]), F.lit(mask))), ""), piece(cut, F.element_at(e, -1), F.length(text).cast("long")))
+
+        return let(covered, lambda e: let(blocks, lambda cut: joined(cut, e)))
+
+    return let(spans, clean)
+
+
 def redact(docs: DataFrame, mask: str = "[secret]", added: Sequence[Rule] = ADDED) -> DataFrame:
     """docs with every span of the scan replaced by mask in text, overlapping ones together; n_chars, if
     there is such a column, is the new length. Texts without spans, nulls among them, stay as they are."""
     rules = BASE + tuple(added)
     found = _spans(docs, rules)
     spans = F.array_sort(F.concat(*[F.col(f"__s{k}") for k in range(len(rules))]))
-    text = F.coalesce("text", F.lit(""))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-
-    def step(a: Column, s: Column) -> Column:
-        between = F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit(mask))
-        return F.when(s["start"] >= a["at"], F.struct(between.alias("out"), s["end"].alias("at"))).otherwise(F.struct(a["out"].alias("out"), F.greatest(a["at"], s["end"]).alias("at")))
-
-    clean = F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
-    found = found.withColumn("text", F.when(F.size(spans) > 0, clean).otherwise(F.col("text")))
+    found = found.withColumn("__spans", spans)
+    found = found.withColumn("text", F.when(F.size("__spans") > 0, without(F.col("text"), F.col("__spans"), mask)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return found.select(*docs.columns)

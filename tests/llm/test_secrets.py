@@ -84,3 +84,29 @@ def test_redact(spark, rows):
 def test_own_rules(spark):
     docs = spark.createDataFrame([(1, "id-12345 and ID-9"), (2, None)], "doc_id long, text string")
     assert [r.spans for r in scan(docs, [Rule("id", "id-[0-9]+")]).orderBy("doc_id").collect()] == ["id:0:8", ""]
+
+
+def test_time_in_proportion_to_secrets(spark):
+    """16,000 secrets in one text, and a long text of several blocks around few of them."""
+    import time
+
+    dense, wide = "é token = abcdefgh1 z " * 16_000, "ü" * 70_000 + " AKIA" + "B" * 20 + " ß" * 40_000 + "token: zzzzzzzzzz"
+    docs = spark.createDataFrame([(1, dense), (2, wide), (3, "f" * 50_000 + "g" + "token=" + "f" * 600)], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r for r in scan(docs).collect()}
+    clean = {r.doc_id: r.text for r in redact(docs, "#").collect()}
+    assert time.time() - began < 60
+    for i, text in docs.collect():
+        assert got[i].spans == joined(plain(text, RULES))
+        out, at = "", 0
+        for a, _, b, _ in plain(text, RULES):
+            if a >= at:
+                out += text[at:a] + "#"
+            at = max(at, b)
+        assert clean[i] == out + text[at:]
+
+
+def test_one_plan_at_every_size(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plan = scan(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
