@@ -8,17 +8,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one worker takes apart at a time; bounds its memory, never what is read.
 SLICE_BYTES = 2 << 20
 
-#: Used only where the session names no shared folder, as in tests.
+#: Used only where the session names no shared folder and all runs on one machine, as in tests.
 LOCAL_SCRATCH = "file:///tmp/checkpoints/quadrille"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder that the cluster names in spark.checkpoint.dir."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
+    """A fresh path in the shared folder that the cluster names in spark.checkpoint.dir. On a cluster that
+    names none there is no folder that all executors see, which is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = LOCAL_SCRATCH
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -31,6 +38,23 @@ def stored(df: DataFrame, name: str, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Parts that the rows of one key are dealt to where something is joined to them.
+BUCKETS = 1024
+
+
+def bucketed(df: DataFrame, name: str) -> DataFrame:
+    """df, stored, with __bucket: numbers from 0 to BUCKETS - 1 in turn, whatever the rows have in them."""
+    return stored(df.withColumn("__bucket", F.pmod(F.monotonically_increasing_id(), F.lit(BUCKETS)).cast("int")), name)
+
+
+def attach(rows: DataFrame, key: str, values: DataFrame) -> DataFrame:
+    """rows (bucketed) with the columns of values, which has each key once. The rows of one key meet their value by
+    bucket, so that a key which a large part of all rows has isn't joined in one task; it is there as
+    often as it has buckets."""
+    there = rows.select(key, "__bucket").distinct().join(values, key)
+    return rows.join(there, [key, "__bucket"]).drop("__bucket")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -8,8 +8,9 @@ shared positional bytes of each pair are tallied; pairs with at least 5 are veri
 
 Lists hold different fingerprints only; equal ones fall together before. A list that is long all the
 same is dealt out again by two of its five other positions (10 keys; a pair needs two of them as
-well), and a list of such a key, whose members share five bytes, can be searched in time that is
-linear in its length, by the 2,324 ways to change up to 3 of the other 24 bits.
+well). Members of a list of such a key share five bytes and differ in three, which are six half bytes;
+near ones share three of these, so a list that is still long is dealt out by them (20 keys). That leaves
+12 bits: no list can have more than 4,096 members then.
 
 No list emits its pairs: the links found along a list are joined there at once, and each member
 emits at most one link. Components over all lists come from rounds of joins and minima.
@@ -26,13 +27,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import slices, stored
+from quadrille.llm.common import attach, bucketed, slices, stored
 
 WIDTH = 3
 DISTANCE = 3
 #: Shared positional bytes that fingerprints at DISTANCE or less have at least.
 LEAST_SHARED = 8 - DISTANCE
-#: Longest list that is searched pair by pair; longer ones are dealt out again, then searched by changed bits.
+#: Longest list that isn't dealt out again by further positions.
 LONG_LIST = 4096
 TRIPLES = [t for half in (range(4), range(4, 8)) for t in combinations(half, 3)]
 
@@ -105,31 +106,31 @@ def near(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def link_short(lists: np.ndarray, fps: np.ndarray, forest: Forest) -> None:
+def link_lists(lists: np.ndarray, fps: np.ndarray, forest: Forest, members: np.ndarray | None = None) -> None:
     """Joins near fingerprints of the same list; equal numbers in lists stand side by side. All lists
-    at once: each step compares members at one distance along the list."""
+    at once: each step compares members at one distance along the list. members: their numbers in the
+    forest."""
+    members = np.arange(len(fps)) if members is None else members
     at = np.arange(len(fps))
     for lag in range(1, len(fps)):
         at = at[: np.searchsorted(at, len(fps) - lag)]
         at = at[lists[at] == lists[at + lag]]
         if not at.size:
             return
-        open_ = at[forest.root[at] != forest.root[at + lag]]
+        open_ = at[forest.root[members[at]] != forest.root[members[at + lag]]]
         linked = open_[near(fps[open_] ^ fps[open_ + lag])]
-        forest.join(linked, linked + lag)
+        forest.join(members[linked], members[linked + lag])
 
 
-def link_long(fps: np.ndarray, forest: Forest, base: int) -> None:
-    """The same for one list whose members share five bytes, in time linear in its length."""
-    free = [b for b in range(64) if np.bitwise_or.reduce(fps ^ fps[0]) >> np.uint64(b) & np.uint64(1)]
-    order = np.argsort(fps)
-    ordered = fps[order]
-    for k in range(1, DISTANCE + 1):
-        for bits in combinations(free, k):
-            other = fps ^ np.uint64(sum(1 << b for b in bits))
-            i = np.minimum(np.searchsorted(ordered, other), len(fps) - 1)
-            at = np.flatnonzero(ordered[i] == other)
-            forest.join(base + at, base + order[i[at]])
+def link_by_halves(fps: np.ndarray, forest: Forest, base: int) -> None:
+    """The same for one list whose members share five bytes, dealt out by the half bytes that near ones
+    share: all but DISTANCE of those in which any differ."""
+    differ = np.bitwise_or.reduce(fps ^ fps[0])
+    halves = [h for h in range(16) if int(differ) >> (4 * h) & 0xF]
+    for shared in combinations(halves, max(0, len(halves) - DISTANCE)):
+        key = fps & np.uint64(sum(0xF << (4 * h) for h in shared))
+        order = np.argsort(key, kind="stable")
+        link_lists(key[order], fps[order], forest, base + order)
 
 
 def links(fps: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
@@ -165,9 +166,9 @@ def links(fps: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
             forest = Forest(len(fp))
             for i in np.flatnonzero((sizes > long_list) & (columns[3][begins] >= 0)):
                 span = slice(begins[i], begins[i] + sizes[i])
-                link_long(fp[span], forest, int(begins[i]))
+                link_by_halves(fp[span], forest, int(begins[i]))
                 number[span] = len(fp) + np.arange(sizes[i])
-            link_short(number, fp, forest)
+            link_lists(number, fp, forest)
             at = np.flatnonzero(forest.root != np.arange(len(fp)))
             return pa.RecordBatch.from_pydict({"a": pa.array(columns[0][at]), "b": pa.array(columns[0][forest.root[at]])})
 
@@ -232,14 +233,14 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     component_id is the smallest doc_id reached over fingerprints that differ in at most 3 bits, the
     row's own included. Null and empty texts have fingerprint 0 and link like any other. A null doc_id
     stays null and is never the smallest unless its whole component has no other. Repeated rows stay."""
-    found = stored(fingerprints(docs, width), "fingerprints")
+    found = bucketed(fingerprints(docs, width), "fingerprints")
     firsts = stored(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "firsts")
     reach = components(links(firsts.select("fp")))
     rooted = firsts.join(reach, firsts.fp == reach.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     # A root's component may hold a smaller doc_id than the root itself.
     best = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     moved = rooted.join(best, "root").select("fp", "component_id")
-    return found.join(moved, "fp").select("doc_id", "fp", "component_id")
+    return attach(found, "fp", moved).select("doc_id", "fp", "component_id")
 
 
 def hex_of(fp: Column) -> Column:
