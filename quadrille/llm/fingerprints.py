@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import SLICE_BYTES, slices, stored
+from quadrille.llm.common import SLICE_BYTES, attach, bucketed, slices, stored
 
 #: Bytes of canonical texts that a task remembers, to send each once.
 SEEN_BYTES = 32 << 20
@@ -85,22 +85,28 @@ def exact_groups(docs: DataFrame, hashed=digest) -> DataFrame:
     """doc_id, fingerprint, group_id for each row of docs(doc_id, text); other columns are not looked at.
     group_id is the smallest doc_id with the same canonical text, null if none of them has a doc_id. Null
     and empty texts are alike. Repeated rows stay."""
-    found = stored(fingerprints(docs, hashed), "fingerprints")
+    return grouped(fingerprints(docs, hashed), docs, hashed)
+
+
+def grouped(found: DataFrame, docs: DataFrame, hashed=digest) -> DataFrame:
+    """found(doc_id, fingerprint, any more columns), the fingerprints of docs, with group_id."""
+    found = bucketed(found, "fingerprints")
     shared = stored(collisions(docs, hashed), "collisions")
     if shared.isEmpty():
-        groups = found.groupBy("fingerprint").agg(F.min("doc_id").alias("group_id"))
-        return found.join(groups, "fingerprint").select("doc_id", "fingerprint", "group_id")
+        return attach(found, "fingerprint", found.groupBy("fingerprint").agg(F.min("doc_id").alias("group_id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             texts = batch.column(1).to_pylist()
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "fingerprint": pa.array([hashed(t) for t in texts], pa.string()), "form": pa.array([canonical(t) for t in texts], pa.binary())})
 
+    # Texts of the same digest, which different ones share, are told apart by their bytes.
     formed = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fingerprint string, form binary")
     marked = formed.join(shared.withColumn("shared", F.lit(True)), "fingerprint", "left")
     keyed = marked.select("doc_id", "fingerprint", F.when(F.col("shared"), F.col("form")).otherwise(F.lit(b"")).alias("form"))
     groups = keyed.groupBy("fingerprint", "form").agg(F.min("doc_id").alias("group_id"))
-    return keyed.join(groups, ["fingerprint", "form"]).select("doc_id", "fingerprint", "group_id")
+    named = keyed.join(groups, ["fingerprint", "form"]).select(F.col("doc_id").alias("__id"), F.col("fingerprint").alias("__print"), "group_id").distinct()
+    return found.join(named, found["doc_id"].eqNullSafe(F.col("__id")) & (found["fingerprint"] == F.col("__print")), "left").drop("__id", "__print", "__bucket")
 
 
 def _cuts(docs: DataFrame, parts: int) -> np.ndarray:
@@ -125,18 +131,19 @@ def with_next(docs: DataFrame, row, schema: str, parts: int | None = None) -> Da
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        most = np.full(len(cuts) + 1, np.iinfo(np.int64).min)
+        most, none = np.full(len(cuts) + 1, np.iinfo(np.int64).min), False
         for batch in batches:
+            none = none or batch.column(0).null_count > 0
             ids = batch.column(0).cast(pa.int64()).drop_null().to_numpy(zero_copy_only=False)
             np.maximum.at(most, np.searchsorted(cuts, ids, side="right"), ids)
         at = np.flatnonzero(most > np.iinfo(np.int64).min)
-        yield pa.RecordBatch.from_pydict({"part": pa.array(at), "most": pa.array(most[at])})
+        yield pa.RecordBatch.from_pydict({"part": pa.array([-1] * none + at.tolist(), pa.int64()), "most": pa.array([0] * none + most[at].tolist(), pa.int64())})
 
     tops = dict(map(tuple, docs.select("doc_id").mapInArrow(ranges, "part long, most long").groupBy("part").agg(F.max("most")).collect()))
+    unnamed = tops.pop(-1, None) is not None  # a range of their own, -1, below all others
     full = sorted(tops)
     goes = {tops[a]: b for a, b in zip(full, full[1:])}  # the top of a range ends the next one above that has rows
     first = tops[full[-1]] if full else None
-    unnamed = not docs.where("doc_id IS NULL").isEmpty()  # a range of their own, -1, below all others
     lowest = -1 if unnamed or not full else full[0]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +201,8 @@ def with_next(docs: DataFrame, row, schema: str, parts: int | None = None) -> Da
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     dealt = docs.select("doc_id", "text").mapInArrow(deal, f"part long, guest boolean, doc_id {kind}, form binary")
-    return dealt.repartition(parts, "part").sortWithinPartitions("part", "guest", F.desc("doc_id"), "form").mapInArrow(walk, schema)
+    # A range is a partition, so each task has one.
+    return dealt.repartitionById(len(cuts) + 2, F.col("part").cast("int") + 1).sortWithinPartitions("part", "guest", F.desc("doc_id"), "form").mapInArrow(walk, schema)
 
 
 def edited(text: str, after: str) -> str:

@@ -176,12 +176,10 @@ FROM docs LEFT JOIN rows USING (r)
 
 
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quadrille.llm.fingerprints import edit_test, exact_groups
+    from quadrille.llm.fingerprints import edit_test, grouped
 
     docs = table(spark, sf_dir, "documents")
-    groups = exact_groups(docs).distinct().select(F.col("doc_id").alias("id"), F.col("fingerprint").alias("print"), "group_id")
-    tested = edit_test(docs)
-    return tested.join(groups, tested["doc_id"].eqNullSafe(groups["id"]) & (tested["fingerprint"] == groups["print"]), "left").drop("id", "print")
+    return grouped(edit_test(docs), docs)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
