@@ -3,7 +3,7 @@
 The index is sharded by documents: each segment holds some megabytes of text as sorted terms, each
 with the ascending positions at which it stands. Segments are written to the shared folder, a row
 each, so a lost executor costs a reread of some of them. A search takes the benchmark's windows to
-every segment. It looks up the terms of each window, passes over windows of which a term is missing,
+every segment, block by block. It looks up the terms of each window, passes over windows of which a term is missing,
 and intersects the position lists of the rest, each shifted by the term's place in the window,
 starting from the rarest term. Nothing is shuffled: a document's postings are in one segment.
 
@@ -13,7 +13,7 @@ between documents, so that no phrase reaches over an end.
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +27,7 @@ from quadrille.llm.common import hashes, rows_of, runs, slices, stored, text_byt
 WINDOW = 10
 #: Text in a segment, unless one document has more.
 SEGMENT_BYTES = 1 << 20
-#: Benchmark text that is broadcast at once; more is taken in several blocks, each over all segments.
+#: Benchmark text in a block. One block is broadcast at a time, and each is taken to all segments.
 BLOCK_BYTES = 8 << 20
 
 #: Bytes of words, in lower case: ASCII digits and letters and all bytes of other characters; 0 elsewhere.
@@ -46,8 +46,8 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def build_index(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
-    """The segments of docs(doc_id, text), not yet written: doc_ids (of the segment's rows, in order),
-    n_words (of each row), terms (sorted 64-bit hashes), ends (of each term's positions) and positions
+    """The segments of docs(doc_id, text), not yet written: segment (a number of its own, drawn at random),
+    doc_ids (of the segment's rows, in order), n_words (of each row), terms (sorted 64-bit hashes), ends (of each term's positions) and positions
     (32-bit), the last three as little-endian arrays. Null texts have no words; a null doc_id stays."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -59,6 +59,7 @@ def build_index(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFram
             unique, first = np.unique(term[order], return_index=True)
             ends = np.append(first[1:], len(term)) if len(term) else first
             columns = {
+                "segment": pa.array([uuid.uuid4().hex]),
                 "doc_ids": pa.array([batch.column(0).to_pylist()], pa.list_(batch.column(0).type)),
                 "n_words": pa.array([np.bincount(row, minlength=batch.num_rows)], pa.list_(pa.int64())),
                 "terms": pa.array([unique.astype("<u8").tobytes()]),
@@ -67,7 +68,7 @@ def build_index(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFram
             }
             yield pa.RecordBatch.from_pydict(columns)
 
-    schema = f"doc_ids array<{kind}>, n_words array<long>, terms binary, ends binary, positions binary"
+    schema = f"segment string, doc_ids array<{kind}>, n_words array<long>, terms binary, ends binary, positions binary"
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
@@ -171,6 +172,11 @@ class Segment:
         return (i < len(rare)) & (rare[np.minimum(i, len(rare) - 1)] - x < span)
 
 
+def _named(items: DataFrame) -> DataFrame:
+    """item_id (string), text of the items that have a text."""
+    return items.select("item_id", "text").where("text IS NOT NULL").select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text")
+
+
 def _blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple]]:
     """The items in blocks of about block_bytes of text, one block on the driver at a time."""
     total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
@@ -180,78 +186,104 @@ def _blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple]]:
         yield [tuple(r) for r in block.collect()]
 
 
+def _passes(index: DataFrame, values: Iterator, run, schema: str) -> DataFrame:
+    """run(segment's row, value) over the whole index for each of the values, which are broadcast one
+    after the other; what it finds is written before the next one is."""
+    spark, found = index.sparkSession, None
+    for value in values:
+        shared = spark.sparkContext.broadcast(value)
+
+        def one(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for r in range(batch.num_rows):
+                    yield from run(batch.slice(r, 1).to_pylist()[0], shared.value)
+
+        part = stored(index.select("segment", "n_words", "terms", "ends", "positions").mapInArrow(one, schema), "hits")
+        shared.destroy()
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 def search(index: DataFrame, items: DataFrame, width: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items (sorted strings), items_sha256, contaminated, spans
-    (first and one past the last word of each hit run) for each row that was indexed.
+    (first and one past the last word of each hit run) for each row that was indexed. index is a written
+    one, since it is read several times.
 
     items(item_id, text); null texts have no words and a null item_id is named 'null'. An item's windows
-    are searched as exact phrases; a word inside any occurrence is hit. Items are broadcast in blocks of
-    a bounded size; beyond one block, hits of the blocks are put together per segment row."""
-    items = items.select("item_id", "text").where("text IS NOT NULL").select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text")
-    kind = index.schema["doc_ids"].dataType.elementType.simpleString()
-    spark = index.sparkSession
-    blocks = [spark.sparkContext.broadcast(windows(b, width)) for b in _blocks(items, block_bytes)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    are searched as exact phrases; a word inside any occurrence is hit. There is a pass over the index for
+    each block of items; hits, a row for each document that has any and block, are put together after."""
+    spans_type = "array<struct<start:bigint,end:bigint>>"
+
+    def run(row: dict, w: Windows) -> Iterator[pa.RecordBatch]:
+        segment = Segment(row["n_words"], row["terms"], row["ends"], row["positions"])
+        if not len(segment.n_words):
+            return
+        edges = np.zeros(int(segment.n_words.sum()) + len(segment.n_words) + 1, np.int32)
+        named: dict[int, set[str]] = {}
+        for k, length, found in segment.phrases(w):
+            np.add.at(edges, found, 1)
+            np.add.at(edges, found + length, -1)
+            for r in np.unique(np.searchsorted(segment.bases, found, side="right") - 1).tolist():
+                named.setdefault(r, set()).add(w.names[w.items[k]])
+        if not named:
+            return
+        bounds = np.append(segment.bases, len(edges) - 1)
+        starts, stops = runs(np.cumsum(edges[:-1]) > 0, bounds)
+        at = rows_of(starts, bounds)
+        spans: dict[int, list[dict]] = {r: [] for r in named}
+        for r, a, b in zip(at.tolist(), (starts - segment.bases[at]).tolist(), (stops - segment.bases[at]).tolist()):
+            spans[r].append({"start": a, "end": b})
+        yield pa.RecordBatch.from_pydict({
+            "segment": pa.array([row["segment"]] * len(named)), "row": pa.array(list(named), pa.int64()), "items": pa.array([sorted(x) for x in named.values()], pa.list_(pa.string())),
+            "spans": pa.array([spans[r] for r in named], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+        })
+
+    values = (windows(b, width) for b in _blocks(_named(items), block_bytes))
+    hits = _passes(index, values, run, f"segment string, row long, items array<string>, spans {spans_type}")
+    met = hits.groupBy("segment", "row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Runs of different blocks may overlap or touch; in order, each either lengthens the last one or begins a new one.
         for batch in batches:
-            for r in range(batch.num_rows):
-                doc_ids, n_words, terms, ends, positions = (batch.column(c)[r] for c in range(5))
-                segment = Segment(n_words.values.to_numpy(), terms.as_py(), ends.as_py(), positions.as_py())
-                n = len(segment.n_words)
-                if not n:
-                    continue
-                total = int(segment.n_words.sum()) + n
-                edges = np.zeros(total + 1, np.int32)
-                named: list[set[str]] = [set() for _ in range(n)]
-                for shared in blocks:
-                    w = shared.value
-                    for k, length, found in segment.phrases(w):
-                        np.add.at(edges, found, 1)
-                        np.add.at(edges, found + length, -1)
-                        name = w.names[w.items[k]]
-                        for row in np.unique(np.searchsorted(segment.bases, found, side="right") - 1).tolist():
-                            named[row].add(name)
-                hit = np.cumsum(edges[:-1]) > 0
-                n_hit = np.add.reduceat(hit.astype(np.int64), segment.bases)
-                starts, stops = runs(hit, np.append(segment.bases, total))
-                row = rows_of(starts, np.append(segment.bases, total))
-                spans: list[list[dict]] = [[] for _ in range(n)]
-                for k, a, b in zip(row.tolist(), (starts - segment.bases[row]).tolist(), (stops - segment.bases[row]).tolist()):
-                    spans[k].append({"start": a, "end": b})
-                sorted_names = [sorted(x) for x in named]
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": doc_ids.values, "n_words": pa.array(segment.n_words), "n_hit": pa.array(n_hit), "n_items": pa.array([len(x) for x in named], pa.int64()),
-                    "items": pa.array(sorted_names, pa.list_(pa.string())), "items_sha256": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in sorted_names]),
-                    "contaminated": pa.array(n_hit > 0), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                })
-
-    schema = f"doc_id {kind}, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean, spans array<struct<start:long,end:long>>"
-    return index.mapInArrow(run, schema)
+            merged = []
+            for spans in batch.column(3).to_pylist():
+                done: list[dict] = []
+                for x in spans:
+                    if done and x["start"] <= done[-1]["end"]:
+                        done[-1]["end"] = max(done[-1]["end"], x["end"])
+                    else:
+                        done.append(x)
+                merged.append(done)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(merged, batch.schema.field(3).type)], names=["segment", "row", "items", "spans"])
+
+    met = met.mapInArrow(merge, f"segment string, row long, items array<string>, spans {spans_type}")
+    rows = index.select("segment", F.posexplode(F.arrays_zip("doc_ids", "n_words")).alias("row", "r")).select("segment", F.col("row").cast("long").alias("row"), F.col("r.doc_ids").alias("doc_id"), F.col("r.n_words").alias("n_words"))
+    out = rows.join(met, ["segment", "row"], "left")
+    items_, spans_ = F.coalesce("items", F.array().cast("array<string>")), F.coalesce("spans", F.array().cast(spans_type))
+    n_hit = F.aggregate(spans_, F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    return out.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(items_).cast("long").alias("n_items"), items_.alias("items"), F.sha2(F.array_join(items_, ","), 256).alias("items_sha256"),
+        (F.size(spans_) > 0).alias("contaminated"), spans_.alias("spans"),
+    )
 
 
 def search_near(index: DataFrame, items: DataFrame, span: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id (string): documents that have all words of an item, in any order, within span
     consecutive words; one row for each indexed row and item. An item longer than span never matches."""
-    items = items.select("item_id", "text").where("text IS NOT NULL").select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text")
-    kind = index.schema["doc_ids"].dataType.elementType.simpleString()
-    sets = []
-    for block in _blocks(items, block_bytes):
-        data, offsets = text_bytes(pa.array([t for _, t in block], pa.string()))
-        term, row = words(data, offsets)
-        sets.append(index.sparkSession.sparkContext.broadcast([(block[i][0], term[row == i]) for i in np.unique(row)]))
+    def sets(block: list[tuple]) -> list[tuple[str, np.ndarray]]:
+        term, row = words(*text_bytes(pa.array([t for _, t in block], pa.string())))
+        return [(block[i][0], term[row == i]) for i in np.unique(row)]
+
+    def run(row: dict, wanted: list[tuple[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        segment = Segment(row["n_words"], row["terms"], row["ends"], row["positions"])
+        for name, terms in wanted:
+            found = segment.near(terms, span)
+            if len(found):
+                yield pa.RecordBatch.from_pydict({"segment": pa.array([row["segment"]] * len(found)), "row": pa.array(found, pa.int64()), "item_id": pa.array([name] * len(found))})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                doc_ids, n_words, terms, ends, positions = (batch.column(c)[r] for c in range(5))
-                segment = Segment(n_words.values.to_numpy(), terms.as_py(), ends.as_py(), positions.as_py())
-                for shared in sets:
-                    for name, wanted in shared.value:
-                        rows = segment.near(wanted, span)
-                        if len(rows):
-                            yield pa.RecordBatch.from_pydict({"doc_id": doc_ids.values.take(pa.array(rows)), "item_id": pa.array([name] * len(rows))})
-
-    return index.mapInArrow(run, f"doc_id {kind}, item_id string").distinct()
+    hits = _passes(index, (sets(b) for b in _blocks(_named(items), block_bytes)), run, "segment string, row long, item_id string")
+    rows = index.select("segment", F.posexplode("doc_ids").alias("row", "doc_id")).select("segment", F.col("row").cast("long").alias("row"), "doc_id")
+    return rows.join(hits, ["segment", "row"]).select("doc_id", "item_id").distinct()
 
 
 def written_index(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:

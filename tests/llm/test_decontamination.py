@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from quadrille.llm.decontamination import build_index, contamination, drop_contaminated, search, search_near
+from quadrille.llm.decontamination import contamination, drop_contaminated, search, search_near, written_index
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -48,7 +48,7 @@ def test_against_brute_force(spark, rows):
     columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     assert sorted(map(tuple, contamination(d, b).select(columns).collect()), key=str) == brute(docs, items)
     # Small segments and blocks change nothing.
-    assert sorted(map(tuple, search(build_index(d, 50), b, block_bytes=60).select(columns).collect()), key=str) == brute(docs, items)
+    assert sorted(map(tuple, search(written_index(d, 50), b, block_bytes=60).select(columns).collect()), key=str) == brute(docs, items)
     kept = drop_contaminated(d, b)
     assert kept.columns == d.columns
     bad = {r[0] for r in brute(docs, items) if r[-1]}
@@ -66,7 +66,16 @@ def test_near(spark):
     docs = [(1, "alpha x beta x gamma"), (2, "gamma beta y y y alpha"), (3, "alpha beta"), (4, "gamma"), (5, None)]
     d = spark.createDataFrame(docs, "doc_id long, text string")
     b = spark.createDataFrame([(1, "Alpha beta gamma"), (2, "beta alpha"), (3, "")], "item_id long, text string")
-    found = lambda span: sorted(map(tuple, search_near(build_index(d), b, span).collect()))
+    found = lambda span: sorted(map(tuple, search_near(written_index(d), b, span).collect()))
     assert found(5) == [(1, "1"), (1, "2"), (2, "2"), (3, "2")]
     assert found(6) == [(1, "1"), (1, "2"), (2, "1"), (2, "2"), (3, "2")]
     assert found(2) == [(3, "2")]
+
+
+def test_one_very_long_text_and_many_hits(spark, rows):
+    _, items = rows
+    long = ("zz " * 30 + (items[0][1] or "") + " ") * 2000
+    d = spark.createDataFrame([(1, long), (2, "a b " * 20_000)], "doc_id long, text string")
+    got = {r.doc_id: r for r in contamination(d, spark.createDataFrame(items[:2] + [(23, "a b")], "item_id long, text string")).collect()}
+    assert got[1].n_words == len(words(long)) and got[1].n_hit >= 2000 * len(words(items[0][1])) and "0" in got[1].items
+    assert (got[2].n_hit, got[2].items, len(got[2].spans)) == (40_000, ["23"], 1)
