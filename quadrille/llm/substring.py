@@ -8,9 +8,9 @@ inside it, so equal windows have equal anchors and neighbouring windows mostly s
 2. The windows around these, as stretches of words, are dealt out to shards by anchor; a stretch that
    stands in many places of a task's documents is sent once, with its places.
 3. Each shard confirms recurring windows, word by word: those that stand in two documents at least.
-   They are compiled into Aho-Corasick automata of a bounded size, each window with the smallest
-   document it stands in, and every stretch is streamed through them. An occurrence in any other
-   document than the smallest is a hit.
+   They are compiled into Aho-Corasick automata of a bounded size, and every stretch is streamed through
+   them. What the automata find tells where each window stands, and so the smallest document it stands
+   in; an occurrence in any other document is a hit.
 4. Hits go back to their documents, which are read again and lose the words.
 
 Documents are sent compressed, by a hash of their text and doc_id. Numbers are packed in rows.
@@ -42,6 +42,8 @@ AUTOMATON = 1_000
 COMMON = 20_000
 #: Text whose anchors are packed together.
 PACK_BYTES = 16 << 20
+#: Input to a part, at most on average: parts are held in memory.
+PART_BYTES = 64 << 20
 #: Stands for a null doc_id: after all others.
 LAST = np.iinfo(np.int64).max
 
@@ -108,9 +110,22 @@ def _unpack(body: bytes):
     return pickle.loads(zstandard.ZstdDecompressor().decompress(body))
 
 
+def _dealt(df: DataFrame, parts: int) -> DataFrame:
+    """A part to a partition, its rows in order of kind."""
+    return df.repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part", "kind")
+
+
 def _grouped(df: DataFrame, parts: int, run: Callable) -> DataFrame:
     """run over the rows of df, those of a part together and in order of kind."""
-    return df.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(run, PACKED)
+    return _dealt(df, parts).mapInArrow(run, PACKED)
+
+
+def parts_of(docs: DataFrame) -> int:
+    """As many parts as shuffle partitions, and more where the input, by what the plan knows of its size, is larger."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = size < 1 << 60  # tables that aren't read from files have no size
+    return max(least, -(-size // PART_BYTES)) if known else least
 
 
 def _split(numbers: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -259,38 +274,47 @@ def stretch_rows(answers: DataFrame, docs: DataFrame, parts: int, window: int) -
 
 
 class Automaton:
-    """Windows of words, each with the smallest document it stands in, for one pass over any words."""
+    """Windows of words, numbered, for one pass over any words."""
 
-    def __init__(self, patterns: dict[tuple[int, ...], int]):
+    def __init__(self, patterns: list[tuple[int, ...]]):
         self.machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for words, least in patterns.items():
-            self.machine.add_word(words, least)
+        for number, words in enumerate(patterns):
+            self.machine.add_word(words, number)
         self.machine.make_automaton()
 
     def stream(self, words: tuple[int, ...], window: int) -> list[tuple[int, int]]:
-        """(first word, smallest document) of each window that stands here."""
-        return [(end - window + 1, least) for end, least in self.machine.iter(words)]
+        """(first word, window's number) of each window that stands here."""
+        return [(end - window + 1, number) for end, number in self.machine.iter(words)]
 
 
-def hits(stretches: list[tuple[list[tuple[int, ...]], list[int], list[int]]], window: int) -> Iterator[list[tuple[int, int]]]:
-    """For each stretch (its words' numbers; least and greatest document it stands in): the windows in
-    it that recur, as (first word, smallest document)."""
-    seen: dict[tuple[int, ...], tuple[int, int]] = {}
+def confirmed(stretches: list[tuple[tuple[int, ...], int, int]], window: int) -> list[tuple[int, ...]]:
+    """The windows that stand in two documents at least: in one stretch that does, or in two of them
+    that are of different documents. Where they stand isn't kept."""
+    seen: dict[tuple[int, ...], int | None] = {}  # the one document that it was seen in; None once confirmed
     for words, least, most in stretches:
         for i in range(len(words) - window + 1):
             key = words[i : i + window]
-            known = seen.get(key)
-            if known is None:
-                seen[key] = (least, most)
-            elif least < known[0] or most > known[1]:
-                seen[key] = (min(least, known[0]), max(most, known[1]))
-    patterns = {key: a for key, (a, b) in seen.items() if a < b}
+            if least != most or seen.setdefault(key, least) != least:
+                seen[key] = None
+    return [key for key, one in seen.items() if one is None]
+
+
+def hits(stretches: list[tuple[tuple[int, ...], int, int]], window: int) -> Iterator[list[tuple[int, int]]]:
+    """For each stretch (its words' numbers; least and greatest document it stands in): the windows in
+    it that recur, as (first word, smallest document)."""
+    patterns = confirmed(stretches, window)
     if not patterns:
         yield from ([] for _ in stretches)
         return
     machine = Automaton(patterns)
-    for words, _, _ in stretches:
-        yield machine.stream(words, window)
+    found = [machine.stream(words, window) for words, _, _ in stretches]
+    smallest = [LAST] * len(patterns)
+    for (_, least, _), places in zip(stretches, found):
+        for _, number in places:
+            if least < smallest[number]:
+                smallest[number] = least
+    for places in found:
+        yield [(first, smallest[number]) for first, number in places]
 
 
 def hit_rows(packed: DataFrame, parts: int, window: int) -> DataFrame:
@@ -365,7 +389,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, parts: int | None = None, com
     Words are [^\\x20\\x09-\\x0D]+. A word goes if a window of words over it also starts in a document of
     a smaller doc_id; rows of one doc_id don't remove each other's words. A null doc_id comes after all
     others, and rows without one don't remove each other's words. Null and empty texts have no words."""
-    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or parts_of(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     answers = recurring_rows(anchor_rows(docs, parts, window), parts, common)
     found = hit_rows(stretch_rows(answers, docs, parts, window), parts, window)
@@ -401,5 +425,5 @@ def repeats(docs: DataFrame, window: int = WINDOW, parts: int | None = None, com
         arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))]
         return pa.RecordBatch.from_arrays(arrays[: 4 + texts], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"][: 4 + texts])
 
-    rows = found.unionByName(document_rows(docs, parts)).repartition(parts, "part").sortWithinPartitions("part", "kind")
+    rows = _dealt(found.unionByName(document_rows(docs, parts)), parts)
     return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts)
