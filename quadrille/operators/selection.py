@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,10 +39,23 @@ def hash_sample(df: DataFrame, n: int, seed: str, key: list[str], by: list[str]
 
 def split(units: DataFrame, key: list[str], share: float, seed: str) -> DataFrame:
     """units with part: 'val' for max(1, round(n share)) of them (halves to even) by keyed digest, else 'train'.
-    units are few beside the rows that belong to them (tiles, not cells)."""
-    n_val = units.agg(F.greatest(F.lit(1), F.bround(F.count("*") * F.lit(share))).cast("int").alias("__n"))
-    order = Window.orderBy(digest(seed, *[F.col(k) for k in key]), *key)
-    return units.withColumn("__r", F.row_number().over(order)).crossJoin(F.broadcast(n_val)).withColumn("part", F.when(F.col("__r") <= F.col("__n"), "val").otherwise("train")).drop("__r", "__n")
+    Each task keeps its first ones, so no more than those of one part meet."""
+    n_val = units.agg(F.greatest(F.lit(1), F.bround(F.count("*") * F.lit(share))).cast("int")).first()[0]
+    chosen = top(units.select(*key, digest(seed, *[F.col(k) for k in key]).alias("__h")), n_val, "__h", *key).select(*key, F.lit("val").alias("part"))
+    return units.join(chosen, key, "left").withColumn("part", F.coalesce("part", F.lit("train")))
+
+
+def blake2b(*key: Column, size: int = 16) -> Column:
+    """The BLAKE2b digest in hexadecimal of the parts joined by colons."""
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else hashlib.blake2b(t.encode(), digest_size=size).hexdigest() for t in texts.to_pylist()], pa.string())
+
+    return F.arrow_udf(run, "string")(F.concat_ws(":", *[k.cast("string") for k in key]))
+
+
+def blake_sample(df: DataFrame, n: int, seed: str, key: list[str]) -> DataFrame:
+    """The n rows of the least BLAKE2b digests of seed and key."""
+    return top(df.withColumn("__h", blake2b(F.lit(seed), *[F.col(k) for k in key])), n, "__h").drop("__h")
 
 
 def best_per(df: DataFrame, by: list[str], score: Column, order: list[str]) -> DataFrame:

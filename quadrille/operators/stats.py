@@ -9,17 +9,23 @@ from pyspark.sql import functions as F
 def ks_pairs(samples: DataFrame, keys: list[str], member: str = "city", value: str = "value", min_n: int = 1) -> DataFrame:
     """keys, a, b, n_a, n_b, ks for each two members (a < b) of a key, both with min_n values at least.
 
-    Values are counted first, so what is compared are steps of distribution functions, as many as there
-    are different values; running shares are aligned on a key's values and joined on key and value."""
-    counts = samples.where(F.col(value).isNotNull()).groupBy(*keys, member, value).agg(F.count("*").alias("n"))
-    totals = counts.groupBy(*keys, member).agg(F.sum("n").alias("total")).where(F.col("total") >= min_n)
-    values = counts.select(*keys, value).distinct()
-    upto = Window.partitionBy(*keys, member).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    steps = values.join(totals, keys).join(counts, [*keys, member, value], "left")
-    steps = steps.select(*keys, F.col(member).alias("m"), value, "total", (F.sum(F.coalesce("n", F.lit(0))).over(upto) / F.col("total")).alias("share"))
-    a = steps.select(*keys, value, F.col("m").alias("a"), F.col("total").alias("n_a"), F.col("share").alias("share_a"))
-    b = steps.select(*keys, value, F.col("m").alias("b"), F.col("total").alias("n_b"), F.col("share").alias("share_b"))
-    return a.join(b, [*keys, value]).where("a < b").groupBy(*keys, "a", "b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.max(F.abs(F.col("share_a") - F.col("share_b"))).alias("ks"))
+    Values are counted first. Each member's counts then go to the pairs that it is in, and the shares run
+    along the pair's own values: what meets are the values of two members, each once, never all of a
+    key's values for every pair."""
+    counts = samples.where(F.col(value).isNotNull()).groupBy(*keys, F.col(member).alias("m"), F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    totals = counts.groupBy(*keys, "m").agg(F.sum("n").alias("total")).where(F.col("total") >= min_n)
+    # One row for each key and member: as many as a key has members.
+    there = totals.groupBy(*keys).agg(F.collect_list(F.struct("m", "total")).alias("all"))
+    pairs = totals.join(there, keys).select(*keys, "m", "total", F.explode("all").alias("o")).where("m <> o.m")
+    first = F.col("m") < F.col("o.m")
+    pairs = pairs.select(
+        *keys, "m", first.alias("first"), F.least("m", "o.m").alias("a"), F.greatest("m", "o.m").alias("b"),
+        F.when(first, F.col("total")).otherwise(F.col("o.total")).alias("n_a"), F.when(first, F.col("o.total")).otherwise(F.col("total")).alias("n_b"),
+    )
+    steps = counts.join(pairs, [*keys, "m"]).groupBy(*keys, "a", "b", "n_a", "n_b", "v").agg(F.sum(F.when(F.col("first"), F.col("n")).otherwise(0)).alias("x"), F.sum(F.when(F.col("first"), 0).otherwise(F.col("n"))).alias("y"))
+    upto = Window.partitionBy(*keys, "a", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    gap = F.abs(F.sum("x").over(upto) / F.col("n_a") - F.sum("y").over(upto) / F.col("n_b"))
+    return steps.select(*keys, "a", "b", "n_a", "n_b", gap.alias("gap")).groupBy(*keys, "a", "b", "n_a", "n_b").agg(F.max("gap").alias("ks"))
 
 
 def ks_two(df: DataFrame, left: Column, value: Column, keys: list[str]) -> DataFrame:
@@ -46,7 +52,8 @@ def ks_critical(n1: Column, n2: Column, c: float = 1.358) -> Column:
 
 
 def bh_adjust(df: DataFrame, p: str, family: list[str], order: list[str], name: str = "p_bh") -> DataFrame:
-    """df with Benjamini and Hochberg's step-up p-values within each family; ties in the given order."""
+    """df with Benjamini and Hochberg's step-up p-values within each family (of all rows, if none is named: pairs
+    of groups, which are few beside the samples); ties in the given order."""
     up = Window.partitionBy(*family).orderBy(p, *order)
     ranked = df.withColumn("__rank", F.row_number().over(up)).withColumn("__m", F.count("*").over(Window.partitionBy(*family)))
     down = Window.partitionBy(*family).orderBy(F.desc("__rank")).rowsBetween(Window.unboundedPreceding, 0)
@@ -62,11 +69,16 @@ def pair_floors(pairs: DataFrame, held: list, keys: list[str]) -> DataFrame:
     return found.where("least IS NOT NULL")
 
 
-def discrimination(pairs: DataFrame, metric: str, alpha: float, effect: float) -> DataFrame:
-    """metric, n_pairs, n_significant, verdict: a pair is significant if p_bh < alpha and ks >= effect."""
+def discrimination(pairs: DataFrame, metrics: DataFrame, metric: str, alpha: float, effect: float) -> DataFrame:
+    """metric, n_pairs, n_significant, verdict for each of metrics and, with a null metric, for all together.
+
+    pairs has p_bh, adjusted over all pairs at once (bh_adjust without a family). A pair is significant if
+    p_bh < alpha and ks >= effect. FAIL if there is a significant pair, UNSUPPORTED if there is none to judge, else PASS."""
     good = (F.col("p_bh") < alpha) & (F.col("ks") >= effect)
     found = pairs.groupBy(metric).agg(F.count("*").alias("n_pairs"), F.count_if(good).alias("n_significant"))
-    return found.withColumn("verdict", F.when(F.col("n_pairs") == 0, "UNSUPPORTED").when(F.col("n_significant") > 0, "PASS").otherwise("FAIL"))
+    every = metrics.select(metric).distinct().join(found, metric, "left").na.fill(0, ["n_pairs", "n_significant"])
+    whole = pairs.agg(F.count("*").alias("n_pairs"), F.count_if(good).alias("n_significant")).select(F.lit(None).cast(pairs.schema[metric].dataType).alias(metric), "n_pairs", "n_significant")
+    return every.unionByName(whole).withColumn("verdict", F.when(F.col("n_pairs") == 0, "UNSUPPORTED").when(F.col("n_significant") > 0, "FAIL").otherwise("PASS"))
 
 
 def excess(scores: DataFrame, floors: DataFrame, keys: list[str]) -> DataFrame:
@@ -96,10 +108,15 @@ def rank_biserial(deltas: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def binomial_tail(k: Column, n: Column) -> Column:
-    """P(X >= k) of n fair coins: a sum of terms, each from the one before."""
-    start = F.struct(F.exp(-n * F.log(F.lit(2.0))).alias("t"), F.lit(0.0).alias("s"))
-    body = F.aggregate(F.sequence(F.lit(0), n.cast("int")), start, lambda a, i: F.struct((a["t"] * (n - i) / (i + 1.0)).alias("t"), (a["s"] + F.when(i >= k, a["t"]).otherwise(0.0)).alias("s")), lambda a: a["s"])
-    return F.least(F.lit(1.0), body)
+    """P(X >= k) of n fair coins: terms as logarithms, each from the one before, so that many coins don't underflow."""
+    start = F.struct((-n * F.log(F.lit(2.0))).alias("t"), F.lit(0.0).alias("s"))
+
+    def step(a: Column, i: Column) -> Column:
+        # At i the term is that of i heads; the next one is times (n - i) / (i + 1).
+        after = F.when(i < n, a["t"] + F.log((n - i) / (i + 1.0))).otherwise(a["t"])
+        return F.struct(after.alias("t"), (a["s"] + F.when(i >= k, F.exp(a["t"])).otherwise(0.0)).alias("s"))
+
+    return F.least(F.lit(1.0), F.aggregate(F.sequence(F.lit(0), n.cast("int")), start, step, lambda a: a["s"]))
 
 
 def sign_test(deltas: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quadrille.functions import let, neighbours
+
 # The layout of the token ids.
 ANCHOR, ANCHOR_BLOCK, LENGTH, LONGEST, FEATURE, FEATURE_END, DIRECTION, CELL_END = 300, 23, 444, 64, 509, 510, 511, 260
 STEP_M = 0.5
@@ -34,14 +36,14 @@ def anchor(x: Column, y: Column) -> Column:
     parts = []
     for k, c in enumerate((x, y)):
         q = quantise(c)
-        parts += [F.floor(q / ANCHOR_BLOCK).cast("int") + (ANCHOR + 2 * k * ANCHOR_BLOCK), q % ANCHOR_BLOCK + (ANCHOR + (2 * k + 1) * ANCHOR_BLOCK)]
+        parts += [F.floor(q / ANCHOR_BLOCK).cast("int") + (ANCHOR + 2 * k * ANCHOR_BLOCK), F.pmod(q, F.lit(ANCHOR_BLOCK)) + (ANCHOR + (2 * k + 1) * ANCHOR_BLOCK)]
     return F.array(*parts)
 
 
 def move(dx: Column, dy: Column) -> Column:
     """Pairs of direction and length tokens."""
     quanta = F.bround(F.sqrt(dx * dx + dy * dy) / STEP_M).cast("int")
-    return F.flatten(F.transform(chunks(quanta), lambda q: F.array(direction(dx, dy) + DIRECTION, q + (LENGTH - 1))))
+    return let(direction(dx, dy) + DIRECTION, lambda d: F.flatten(F.transform(chunks(quanta), lambda q: F.array(d, q + (LENGTH - 1)))))
 
 
 def encode(tag: Column, points: Column) -> Column:
@@ -59,11 +61,12 @@ def cost(points: Column) -> Column:
 
 
 def blocks(tokens: Column) -> Column:
-    """The features of a sequence, from each FEATURE to the first FEATURE_END after it, without both ends'
-    neighbours; an unfinished tail is dropped."""
-    ends = F.filter(F.transform(tokens, lambda t, i: F.when(t == FEATURE_END, i)), lambda i: i.isNotNull())
-    starts = F.filter(F.transform(tokens, lambda t, i: F.when(t == FEATURE, i)), lambda i: i.isNotNull())
-    return F.transform(F.arrays_zip(F.slice(starts, F.lit(1), F.size(ends)).alias("s"), ends.alias("e")), lambda z: F.slice(tokens, z["s"] + 1, z["e"] - z["s"] + 1))
+    """The features of a sequence: from a FEATURE to the next FEATURE_END with no other FEATURE between. A
+    FEATURE begins anew, a FEATURE_END without one counts for nothing, an unfinished tail is dropped."""
+    marked = F.transform(tokens, lambda t, i: F.when(t.isin(FEATURE, FEATURE_END), F.struct(t.alias("t"), i.alias("i"))))
+    pairs = let(F.filter(marked, lambda m: m.isNotNull()), neighbours)
+    whole = F.filter(pairs, lambda p: (p["a"]["t"] == FEATURE) & (p["b"]["t"] == FEATURE_END))
+    return F.transform(whole, lambda p: F.slice(tokens, p["a"]["i"] + 1, p["b"]["i"] - p["a"]["i"] + 1))
 
 
 def decode_anchor(tokens: Column) -> Column:

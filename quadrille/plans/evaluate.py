@@ -63,9 +63,14 @@ def bh_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.bh_adjust(tested(spark, sf_dir), "p", ["stratum"], ["a", "b"]).select("stratum", "a", "b", F.round("p_bh", 9).alias("p_bh"))
 
 
-@query(BH_SQL + "SELECT stratum, count(*) AS n_pairs, count(*) FILTER (WHERE p_bh < 0.9 AND ks >= 0.01) AS n_significant, CASE WHEN count(*) FILTER (WHERE p_bh < 0.9 AND ks >= 0.01) > 0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM bh GROUP BY 1")
+@query(KS_SQL + """, r AS (SELECT *, row_number() OVER (ORDER BY p, stratum, a, b) AS k, count(*) OVER () AS m FROM p),
+bh AS (SELECT stratum, ks, least(1.0, min(p * m / k) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING)) < 0.9 AND ks >= 0.01 AS s FROM r),
+v AS (SELECT stratum, count(*) AS n_pairs, count(*) FILTER (WHERE s) AS n_significant FROM bh GROUP BY 1 UNION ALL SELECT NULL, count(*), count(*) FILTER (WHERE s) FROM bh UNION ALL SELECT 'none', 0, 0)
+SELECT *, CASE WHEN n_pairs = 0 THEN 'UNSUPPORTED' WHEN n_significant > 0 THEN 'FAIL' ELSE 'PASS' END AS verdict FROM v""")
 def discrimination_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.discrimination(stats.bh_adjust(tested(spark, sf_dir), "p", ["stratum"], ["a", "b"]), "stratum", 0.9, 0.01)
+    """p-values adjusted over the pairs of all strata; a stratum without a pair is among those asked for."""
+    asked = features(spark, sf_dir).select("stratum").distinct().unionByName(spark.range(1).select(F.lit("none").alias("stratum")))
+    return stats.discrimination(stats.bh_adjust(tested(spark, sf_dir), "p", [], ["stratum", "a", "b"]), asked, "stratum", 0.9, 0.01)
 
 
 @query(KS_SQL + "SELECT stratum, a, b, round(1.358 * sqrt((n_a + n_b)::DOUBLE / (n_a::DOUBLE * n_b)), 9) AS critical FROM pairs")
@@ -142,6 +147,15 @@ def sign_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.sign_test(deltas(spark, sf_dir), ["k"]).withColumns({c: F.round(c, 9) for c in ("p_one", "p_two")})
 
 
+@query("""WITH c AS (SELECT user_id % 2 AS k, count(*) AS n, count(*) FILTER (WHERE event_id % 100 < 49) AS n_positive FROM (SELECT e.event_id * 10 + x AS event_id, user_id FROM events e, range(5) r(x)) GROUP BY 1)
+SELECT k, n, n_positive, round(list_sum(list_transform(range(n_positive, n + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2)))), 6) AS p_one FROM c""")
+def sign_test_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thousands of coins, of which the first term alone is far below the least number that a double has."""
+    e = read(spark, sf_dir, "events").select((F.col("user_id") % 2).alias("k"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("x"), "event_id")
+    d = e.select("k", F.when((F.col("event_id") * 10 + F.col("x")) % 100 < 49, 1).otherwise(-1).alias("delta"))
+    return stats.sign_test(d, ["k"]).select("k", "n", "n_positive", F.round("p_one", 6).alias("p_one"))
+
+
 @query("SELECT event_type, count(v) AS n, round(avg(v), 6) AS mean, round(stddev_samp(v) / sqrt(count(v)), 6) AS sem, round(stddev_pop(v), 6) AS spread FROM (SELECT event_type, floor(value) AS v FROM events) GROUP BY 1")
 def seed_mean_sem(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events").select("event_type", F.floor("value").alias("v"))
@@ -182,6 +196,12 @@ def hash_rank_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.hash_sample(tiles(spark, sf_dir), 4, "7", TILE, ["city"]).select(*TILE)
 
 
+@query()
+def blake_rank_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample in the order of the digest that manifests are made by; SQL has no such digest, a test has."""
+    return selection.blake_sample(tiles(spark, sf_dir).select(*TILE), 12, "7", TILE)
+
+
 @query(TILES_SQL + "SELECT city, tile_i, tile_j, CASE WHEN row_number() OVER (ORDER BY sha256('7:' || city || ':' || tile_i || ':' || tile_j)) <= greatest(1, round_even((SELECT count(*) FROM tiles) * 0.1, 0)) THEN 'val' ELSE 'train' END AS part FROM tiles")
 def split_train_val(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.split(tiles(spark, sf_dir).select(*TILE), TILE, 0.1, "7")

@@ -118,9 +118,19 @@ def cell_edge_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.side_contract(labelled(spark, sf_dir), active)
 
 
-@query("SELECT 0 AS n_asymmetric")
+CONTRACT_SQL = """, sides AS (SELECT * FROM (VALUES ('N', 0, -1, 1), ('S', 0, 0, 1), ('W', -1, 0, 0), ('E', 0, 0, 0)) s(side, di, dj, axis)),
+contract AS (SELECT d.city, d.tile_i, d.tile_j, d.cell_i, d.cell_j, side, CASE WHEN side = 'E' AND (d.cell_i + d.cell_j) % 5 = 0 OR side = 'N' AND d.city = 2 AND d.cell_j = 3 THEN 'NONE' ELSE coalesce(class, 'NONE') END AS class
+  FROM dense d CROSS JOIN sides s LEFT JOIN labelled l ON l.city = d.city AND l.tile_i = d.tile_i AND l.tile_j = d.tile_j AND l.lower_i = d.cell_i + di AND l.lower_j = d.cell_j + dj AND l.axis = s.axis WHERE d.active)
+"""
+
+
+@query(SQL.rstrip() + CELLS_SQL + EDGES_SQL + CROSS_SQL + CONTRACT_SQL + """SELECT a.city, a.tile_i, a.tile_j, a.cell_i, a.cell_j, a.class AS own, b.class AS other, a.side
+FROM contract a JOIN contract b ON a.city = b.city AND a.tile_i = b.tile_i AND a.tile_j = b.tile_j AND (a.side = 'E' AND b.side = 'W' AND b.cell_i = a.cell_i + 1 AND b.cell_j = a.cell_j OR a.side = 'S' AND b.side = 'N' AND b.cell_i = a.cell_i AND b.cell_j = a.cell_j + 1)
+WHERE a.class <> b.class""")
 def symmetry_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.asymmetries(cell_edge_contract(spark, sf_dir)).agg(F.count("*").cast("int").alias("n_asymmetric"))
+    """A contract in which some sides were lost: each side of an edge has its own word on it."""
+    lost = (F.col("side") == "E") & ((F.col("cell_i") + F.col("cell_j")) % 5 == 0) | (F.col("side") == "N") & (F.col("city") == 2) & (F.col("cell_j") == 3)
+    return grid.asymmetries(cell_edge_contract(spark, sf_dir).withColumn("class", F.when(lost, "NONE").otherwise(F.col("class"))))
 
 
 ZONING_SQL = """SELECT t.*, CAST(c AS INT) AS class, coalesce(n, 0) AS n FROM (SELECT DISTINCT city, tile_i, tile_j, cell_i, cell_j FROM feat) t CROSS JOIN range(4) r(c)
@@ -163,10 +173,11 @@ def density_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(SQL + f"SELECT city, tile_i, tile_j, round(avg(ratio), 9) AS mean, s[CAST(round_even(0.5 * (n - 1), 0) AS INT) + 1] AS p50, s[CAST(round_even(0.75 * (n - 1), 0) AS INT) + 1] AS p75 FROM (SELECT city, tile_i, tile_j, unnest(s) AS ratio, s, n FROM (SELECT city, tile_i, tile_j, list_sort(list(ratio)) AS s, count(*) AS n FROM ({RATIO_SQL}) GROUP BY ALL)) GROUP BY ALL")
 def pop_density_proxies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quadrille.operators.percentiles import nearest_rank
+    from quadrille.operators.percentiles import nearest_rank, picks
 
-    r = F.col("ratio")
-    return ratios(features(spark, sf_dir)).groupBy(*TILE).agg(F.round(F.avg(r), 9).alias("mean"), nearest_rank(r, 0.5).alias("p50"), nearest_rank(r, 0.75).alias("p75"))
+    each = ratios(features(spark, sf_dir))
+    mean = each.groupBy(*TILE).agg(F.round(F.avg("ratio"), 9).alias("mean"))
+    return mean.join(picks(each, TILE, F.col("ratio"), {"p50": nearest_rank(0.5), "p75": nearest_rank(0.75)}).drop("n"), TILE)
 
 
 @query(SQL + """, d AS (SELECT city, tile_i, tile_j, cell_i, cell_j, arg_max(class, n * 10 - class) AS z FROM (""" + ZONING_SQL + """) GROUP BY ALL),
@@ -213,12 +224,12 @@ def chunk_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(spark, sf_dir).select("feature_id", F.array_join(F.transform(tokens.chunks(F.col("w") * 4), lambda q: q.cast("string")), ",").alias("pieces"))
 
 
-ANCHOR_SQL = "[300 + qx // 23, 323 + qx % 23, 346 + qy // 23, 369 + qy % 23]"
+ANCHOR_SQL = "[300 + CAST(floor(qx / 23.0::DOUBLE) AS INT), 323 + ((qx % 23) + 23) % 23, 346 + CAST(floor(qy / 23.0::DOUBLE) AS INT), 369 + ((qy % 23) + 23) % 23]"
 
 
-@query(SQL + f", q AS (SELECT feature_id, CAST(round_even(x0 / 0.5, 0) AS INT) AS qx, CAST(round_even(y0 / 0.5, 0) AS INT) AS qy FROM feat) SELECT feature_id, array_to_string({ANCHOR_SQL}, ',') AS anchor FROM q")
+@query(SQL + f", q AS (SELECT feature_id, CAST(round_even((x0 - 100) / 0.5, 0) AS INT) AS qx, CAST(round_even((y0 - 30) / 0.5, 0) AS INT) AS qy FROM feat) SELECT feature_id, array_to_string({ANCHOR_SQL}, ',') AS anchor FROM q")
 def anchor_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(spark, sf_dir).select("feature_id", F.array_join(F.transform(tokens.anchor(F.col("x0"), F.col("y0")), lambda t: t.cast("string")), ",").alias("anchor"))
+    return features(spark, sf_dir).select("feature_id", F.array_join(F.transform(tokens.anchor(F.col("x0") - 100, F.col("y0") - 30), lambda t: t.cast("string")), ",").alias("anchor"))
 
 
 def line() -> list:
@@ -253,11 +264,22 @@ def token_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("feature_class").agg(F.sum(tokens.cost(F.col("p"))).alias("cost"))
 
 
-@query(ENCODE_SQL + "SELECT feature_id, 2::BIGINT AS n_blocks, array_to_string(tokens, ',') AS second FROM t")
+#: Sequences with a feature that begins anew, ends without a beginning, features that are whole and an unfinished tail.
+MALFORMED_SQL = ENCODE_SQL + """, m AS (SELECT row_number() OVER () AS r, CASE feature_id % 4 WHEN 0 THEN [510, 7] ELSE [] END || CASE feature_id % 3 WHEN 0 THEN [509, 1] ELSE [] END || tokens || CASE feature_id % 5 WHEN 0 THEN [510, 8, 510] ELSE [9] END || tokens || [509, 1] AS s FROM t),
+e AS (SELECT r, unnest(s) AS t, generate_subscripts(s, 1) AS i, s FROM m),
+k AS (SELECT r, t, i, s, lead(t) OVER w AS t2, lead(i) OVER w AS i2 FROM e WHERE t IN (509, 510) WINDOW w AS (PARTITION BY r ORDER BY i)),
+b AS (SELECT array_to_string(s[i:i2], ',') AS block, row_number() OVER (PARTITION BY r ORDER BY i) - 1 AS place FROM k WHERE t = 509 AND t2 = 510)
+"""
+
+
+@query(MALFORMED_SQL + "SELECT place::INT AS place, block, count(*) AS n FROM b GROUP BY ALL")
 def split_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    twice = encoded(spark, sf_dir).select("feature_id", F.concat("t", "t", F.array(F.lit(509), F.lit(1))).alias("t"))
-    b = twice.select("feature_id", tokens.blocks(F.col("t")).alias("b"))
-    return b.select("feature_id", F.size("b").cast("long").alias("n_blocks"), F.array_join(F.transform(F.get("b", F.lit(1)), lambda x: x.cast("string")), ",").alias("second"))
+    none = F.array().cast("array<int>")
+    some = lambda n, ids: F.when(F.col("feature_id") % n == 0, F.array(*map(F.lit, ids))).otherwise(none)
+    tail = F.when(F.col("feature_id") % 5 == 0, F.array(F.lit(510), F.lit(8), F.lit(510))).otherwise(F.array(F.lit(9)))
+    m = encoded(spark, sf_dir).select(F.concat(some(4, [510, 7]), some(3, [509, 1]), "t", tail, "t", F.array(F.lit(509), F.lit(1))).alias("s"))
+    b = m.select(F.posexplode(tokens.blocks(F.col("s"))).alias("place", "b"))
+    return b.groupBy("place", F.array_join(F.transform("b", lambda x: x.cast("string")), ",").alias("block")).agg(F.count("*").alias("n"))
 
 
 @query(SQL + ", q AS (SELECT feature_id, round_even(x0 / 0.5, 0) * 0.5 AS x, round_even(y0 / 0.5, 0) * 0.5 AS y FROM feat) SELECT feature_id, x, y FROM q")

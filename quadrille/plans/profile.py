@@ -146,19 +146,19 @@ Q_SQL = "SELECT l_linenumber, {e} FROM (SELECT l_linenumber, list_sort(list(l_ex
 
 @query(Q_SQL.format(e="s[CAST(round_even(0.5 * (n - 1), 0) AS INT) + 1] AS p50, s[CAST(round_even(0.9 * (n - 1), 0) AS INT) + 1] AS p90, s[CAST(round_even(0.99 * (n - 1), 0) AS INT) + 1] AS p99"))
 def summary_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.col("l_extendedprice")
-    return read(spark, sf_dir, "lineitem").groupBy("l_linenumber").agg(*[percentiles.nearest_rank(v, q).alias(f"p{int(q * 100)}") for q in (0.5, 0.9, 0.99)])
+    at = {f"p{int(q * 100)}": percentiles.nearest_rank(q) for q in (0.5, 0.9, 0.99)}
+    return percentiles.picks(read(spark, sf_dir, "lineitem"), ["l_linenumber"], F.col("l_extendedprice"), at).drop("n")
 
 
 @query(Q_SQL.format(e="s[greatest(1, least(n, CAST(ceil(0.95 * n) AS INT)))] AS p95, s[greatest(1, least(n, CAST(ceil(0.999 * n) AS INT)))] AS p999"))
 def summary_ceil_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.col("l_extendedprice")
-    return read(spark, sf_dir, "lineitem").groupBy("l_linenumber").agg(percentiles.ceil_rank(v, 95).alias("p95"), percentiles.ceil_rank(v, 99.9).alias("p999"))
+    v = percentiles.finite(F.col("l_extendedprice"))
+    return percentiles.picks(read(spark, sf_dir, "lineitem"), ["l_linenumber"], v, {"p95": percentiles.ceil_rank(95), "p999": percentiles.ceil_rank(99.9)}).drop("n")
 
 
 @query(Q_SQL.format(e="s[CAST(floor(0.9 * (n - 1)) AS INT) + 1] AS p90"))
 def summary_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "lineitem").groupBy("l_linenumber").agg(percentiles.truncated(F.col("l_extendedprice"), 0.9).alias("p90"))
+    return percentiles.picks(read(spark, sf_dir, "lineitem"), ["l_linenumber"], F.col("l_extendedprice"), {"p90": percentiles.truncated(0.9)}).drop("n")
 
 
 @query("SELECT l_linenumber, round(quantile_cont(l_extendedprice, 0.5), 6) AS p50, round(quantile_cont(l_extendedprice, 0.99), 6) AS p99 FROM lineitem GROUP BY 1")
@@ -174,8 +174,7 @@ def _exclusive_sql(k: int, n: int) -> str:
 
 @query("SELECT p_size, CASE WHEN n >= 2 THEN " + _exclusive_sql(1, 4) + " END AS q1, CASE WHEN n >= 2 THEN " + _exclusive_sql(9, 10) + " END AS p90 FROM (SELECT p_size, list_sort(list(p_partkey)) AS s, len(list(p_partkey)) AS n FROM part GROUP BY 1)")
 def quantiles_exclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.col("p_partkey")
-    return read(spark, sf_dir, "part").groupBy("p_size").agg(percentiles.exclusive(v, 1, 4).alias("q1"), percentiles.exclusive(v, 9, 10).alias("p90"))
+    return percentiles.exclusive(read(spark, sf_dir, "part"), ["p_size"], F.col("p_partkey"), {"q1": (1, 4), "p90": (9, 10)}).drop("n")
 
 
 @query("""

@@ -23,6 +23,9 @@ def test_queries_without_the_subpackage(monkeypatch, gone):
 
 
 def test_other_import_errors_are_raised(monkeypatch):
+    import quadrille
+
+    monkeypatch.delattr(quadrille, "catalog")
     monkeypatch.setitem(sys.modules, "quadrille.catalog", None)
     with pytest.raises(ImportError):
         entry.queries()

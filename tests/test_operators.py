@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -49,16 +50,54 @@ def test_policies(spark):
 
 
 def test_quantile_conventions(spark):
-    df = spark.createDataFrame([(float(v),) for v in (1, 2, 3)], "v double")
+    df = spark.createDataFrame([(float(v),) for v in (1, 2, 3)] + [(None,)], "v double")
     v = F.col("v")
-    row = df.agg(percentiles.exclusive(v, 1, 10).alias("p10"), percentiles.nearest_rank(v, 0.5).alias("m"), percentiles.ceil_rank(v, 99).alias("c"), percentiles.truncated(v, 0.9).alias("t")).first()
-    assert row.p10 == pytest.approx(0.4) and (row.m, row.c, row.t) == (2, 3, 2)
-    two = df.where("v < 3").agg(*[percentiles.exclusive(v, k, 4).alias(f"q{k}") for k in (1, 2, 3)]).first()
-    assert tuple(two) == (0.75, 1.5, 2.25)
-    assert df.limit(0).agg(percentiles.ceil_rank(v, 99)).first()[0] == 0
+    row = percentiles.picks(df, [], v, {"m": percentiles.nearest_rank(0.5), "c": percentiles.ceil_rank(99), "t": percentiles.truncated(0.9)}).first()
+    assert (row.n, row.m, row.c, row.t) == (3, 2, 3, 2)
+    assert percentiles.exclusive(df, [], v, {"p10": (1, 10)}).first().p10 == pytest.approx(0.4)
+    two = percentiles.exclusive(df.where("v < 3"), [], v, {f"q{k}": (k, 4) for k in (1, 2, 3)}).first()
+    assert tuple(two) == (2, 0.75, 1.5, 2.25)
+    assert percentiles.exclusive(df.where("v < 2"), [], v, {"q": (1, 4)}).first().q is None
+    assert percentiles.picks(df, [], percentiles.finite(F.when(v == 1, float("inf")).otherwise(v)), {"c": percentiles.ceil_rank(1)}).first().c == 2
     assert df.agg(percentiles.pearson(v, F.lit(1.0))).first()[0] == 0
 
 
+def test_no_group_is_one_row(spark):
+    df = spark.range(1000).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("v"))
+    plan = percentiles.picks(df, ["g"], F.col("v"), {"m": percentiles.nearest_rank(0.5)})._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan
+    again = stats.ks_pairs(df.withColumn("city", F.col("v") % 4), ["g"], "city", "v")
+    assert again.count() == 3 * 6
+
+
+def test_blocks_of_malformed_sequences(spark):
+    def blocks(ids):
+        return spark.createDataFrame([(ids,)], "t array<int>").select(tokens.blocks(F.col("t"))).first()[0]
+
+    assert blocks([510, 509, 1, 510]) == [[509, 1, 510]]
+    assert blocks([509, 1, 509, 2, 510]) == [[509, 2, 510]]
+    assert blocks([509, 1, 510, 510, 3, 509, 4]) == [[509, 1, 510]]
+    assert blocks([]) == blocks([1]) == blocks([509]) == []
+
+
+def test_many_coins(spark):
+    row = spark.range(1).select(stats.binomial_tail(F.lit(0), F.lit(2000)).alias("all"), stats.binomial_tail(F.lit(2500), F.lit(5000)).alias("half"), stats.binomial_tail(F.lit(2600), F.lit(5000)).alias("rare")).first()
+    assert row["all"] == pytest.approx(1) and row.half == pytest.approx(0.505641, abs=1e-5) and row.rare == pytest.approx(0.0024487, rel=1e-2)
+
+
+def test_blake_sample(spark):
+    rows = [(c, i, j) for c in range(3) for i in range(4) for j in range(4)]
+    got = selection.blake_sample(spark.createDataFrame(rows, "city int, tile_i int, tile_j int"), 5, "7", ["city", "tile_i", "tile_j"])
+    want = sorted(rows, key=lambda r: hashlib.blake2b(":".join(map(str, (7, *r))).encode(), digest_size=16).hexdigest())[:5]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_anchor_of_negative_coordinates(spark):
+    got = spark.range(1).select(tokens.anchor(F.lit(-0.5), F.lit(-12.0))).first()[0]
+    q = [divmod(-1, 23), divmod(-24, 23)]
+    assert got == [300 + q[0][0], 323 + q[0][1], 346 + q[1][0], 369 + q[1][1]]
+
+
 def test_statistics(spark):
     rows = [("k", "a", 1.0), ("k", "a", 2.0), ("k", "b", 2.0), ("k", "b", 3.0), ("k", "c", None)]
     df = spark.createDataFrame(rows, "g string, city string, value double")
