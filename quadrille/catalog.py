@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from quadrille.plans import checks, evaluate, labels, profile
+from quadrille.plans import checks, evaluate, labels, measures, profile, spatial
 
+REGISTRIES = (spatial.query, measures.query)
 QUERIES: dict = profile.QUERIES | labels.QUERIES | evaluate.QUERIES | checks.QUERIES
 ORACLE_SQL: dict[str, str] = profile.ORACLE_SQL | labels.ORACLE_SQL | evaluate.ORACLE_SQL | checks.ORACLE_SQL
+for registry in REGISTRIES:
+    QUERIES |= registry.queries
+    ORACLE_SQL |= registry.sql
 FLAGSHIP = "freq_floor_cuts"

@@ -152,6 +152,11 @@ def edge_of(x: Column, y: Column, side: float = 250.0, tolerance: float = 1e-6)
     return F.when(F.abs(x) <= tolerance, "W").when(F.abs(x - side) <= tolerance, "E").when(F.abs(y) <= tolerance, "N").when(F.abs(y - side) <= tolerance, "S")
 
 
+def end_relation(a: Column, z: Column) -> Column:
+    """How a line lies to the edges of its cell, by the edges that its ends are on."""
+    return F.when(a.isNull() & z.isNull(), "inside").when(a.isNull() | z.isNull(), "one end").when(a == z, "same edge").otherwise("two edges")
+
+
 def canonical_ring(ring: Column, hole: bool = False) -> Column:
     """The same ring from its least vertex on, counter-clockwise (a hole clockwise), closed again."""
     turn = signed_area(ring) > 0 if hole else signed_area(ring) < 0

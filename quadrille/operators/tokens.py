@@ -7,11 +7,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quadrille.functions import let, neighbours
+from quadrille.functions import let, neighbours, running
 
 # The layout of the token ids.
 ANCHOR, ANCHOR_BLOCK, LENGTH, LONGEST, FEATURE, FEATURE_END, DIRECTION, CELL_END = 300, 23, 444, 64, 509, 510, 511, 260
 STEP_M = 0.5
+# The first id of the references to a boundary, and the sides and road classes in the order of their ids.
+BOUNDARY, BOUNDARY_SIDES, BOUNDARY_CLASSES = 1500, ("N", "E", "S", "W"), ("MAJOR", "MINOR")
+# Lengths of the moves of the plain tokenizer, its directions, and the side of its cells.
+MOVE_STEPS, MOVE_SIDES = (32, 16, 8, 4, 2, 1), ("N", "E", "S", "W")
 
 
 def quantise(c: Column) -> Column:
@@ -113,3 +117,120 @@ def thin(points: Column, least: float = 0.5, closed: bool = False) -> Column:
     inner = F.aggregate(F.slice(points, F.lit(2), F.greatest(F.lit(0), F.size(points) - 2)), F.slice(points, 1, 1), step)
     out = F.concat(inner, F.slice(points, F.size(points), F.lit(1)))
     return F.when((F.size(points) < 2) | (F.size(out) < (4 if closed else 2)), points).otherwise(out)
+
+
+def boundary_token(side: Column, road_class: Column) -> Column:
+    """The reference to a boundary: null inside the cell, or where no road class is."""
+    sides, classes = F.array(*map(F.lit, BOUNDARY_SIDES)), F.array(*map(F.lit, BOUNDARY_CLASSES))
+    i, j = F.array_position(sides, side), F.array_position(classes, road_class)
+    return F.when((i > 0) & (j > 0), (F.lit(BOUNDARY - 1) + i + len(BOUNDARY_SIDES) * (j - 1)).cast("int"))
+
+
+def is_boundary(token: Column) -> Column:
+    return token.between(BOUNDARY, BOUNDARY + len(BOUNDARY_SIDES) * len(BOUNDARY_CLASSES) - 1)
+
+
+def encode_part(tag: Column, points: Column, inbound: Column | None = None, outbound: Column | None = None) -> Column:
+    """One part in the four forms: with a reference to the boundary that it comes in over (before the anchor), goes out over (in place of
+    the last move), both or none. Vertices nearer than a step to the last one kept are left out first."""
+    none = F.lit(None).cast("int")
+    inbound, outbound = none if inbound is None else inbound, none if outbound is None else outbound
+    maybe = lambda t: F.when(t.isNotNull(), F.array(t)).otherwise(F.array().cast("array<int>"))
+
+    def body(p: Column) -> Column:
+        closed = F.element_at(p, 1) == F.element_at(p, -1)
+        kept = F.when(closed, thin(p, STEP_M, True)).otherwise(thin(p, STEP_M))
+
+        def put(k: Column) -> Column:
+            last = F.when(outbound.isNotNull(), F.size(k) - 1).otherwise(F.size(k))
+            moves = F.flatten(F.transform(let(F.slice(k, F.lit(1), F.greatest(F.lit(0), last)), neighbours), lambda e: move(e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"])))
+            return F.concat(F.array(F.lit(FEATURE), tag.cast("int")), maybe(inbound), anchor(k[0]["x"], k[0]["y"]), moves, maybe(outbound), F.array(F.lit(FEATURE_END)))
+
+        return let(kept, put)
+
+    return let(points, body)
+
+
+def encode_shape(tag: Column, parts: Column, road: Column, sides: Column) -> Column:
+    """The parts of a shape one after the other; sides (a map of side to road class) is the contract of its cell. Only roads refer to boundaries:
+    by where their ends lie, W before E, N, S."""
+    from quadrille.operators.geometry import edge_of
+
+    def one(p: Column) -> Column:
+        at = lambda q: edge_of(q["x"], q["y"])
+        a, z = at(F.element_at(p, 1)), at(F.element_at(p, -1))
+        refer = lambda side: F.when(road & (F.size(p) >= 2), boundary_token(side, F.try_element_at(sides, side)))
+        return encode_part(tag, p, refer(a), refer(z))
+
+    return F.flatten(F.transform(parts, one))
+
+
+def decode_block(block: Column) -> Column:
+    """The points of a block: the anchor, then each move in turn; a reference at the end repeats the last point, as the place on the boundary isn't
+    written. Null for what isn't a block."""
+
+    def of(b: Column) -> Column:
+        first = F.when(is_boundary(F.get(b, F.lit(2))), F.lit(3)).otherwise(F.lit(2))
+        out = is_boundary(F.get(b, F.size(b) - 2))
+        at = lambda k, block_: F.get(b, first + k) - (ANCHOR + block_ * ANCHOR_BLOCK)
+        start = F.struct(((at(0, 0) * ANCHOR_BLOCK + at(1, 1)) * STEP_M).cast("double").alias("x"), ((at(2, 2) * ANCHOR_BLOCK + at(3, 3)) * STEP_M).cast("double").alias("y"))
+        stop = F.size(b) - 1 - F.when(out, 1).otherwise(0)  # one past the last move
+        n = F.floor((stop - first - 4) / 2).cast("int")
+
+        def step(k: Column) -> Column:
+            angle, length = F.radians(F.get(b, first + 4 + 2 * k) - DIRECTION + 0.5), (F.get(b, first + 5 + 2 * k) - (LENGTH - 1)) * STEP_M
+            return F.struct((F.cos(angle) * length).alias("x"), (F.sin(angle) * length).alias("y"))
+
+        moves = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), step)).otherwise(F.array().cast("array<struct<x:double,y:double>>"))
+        points = running(F.concat(F.array(start), moves), lambda p, q: F.struct((p["x"] + q["x"]).alias("x"), (p["y"] + q["y"]).alias("y")), 12)
+        return F.when((F.get(b, F.lit(0)) == FEATURE) & (F.element_at(b, -1) == FEATURE_END) & (stop >= first + 4), let(points, lambda p: F.when(out, F.concat(p, F.slice(p, F.size(p), F.lit(1)))).otherwise(p)))
+
+    return let(block, of)
+
+
+def collapsed(block: Column, points: Column) -> Column:
+    """Whether a block is a road of which nothing but the ends was left: it goes out over a boundary and has fewer than two different points."""
+    return is_boundary(F.get(block, F.size(block) - 2)) & (F.size(F.array_distinct(points)) < 2)
+
+
+def padded(tokens: Column, length: Column | int, fill: int = 0) -> Column:
+    """Filled up on the right."""
+    return F.concat(tokens, F.array_repeat(F.lit(fill), F.greatest(F.lit(0), F.lit(length) - F.size(tokens) if isinstance(length, int) else length - F.size(tokens))))
+
+
+def dyadic(length: Column) -> Column:
+    """A length in metres as steps of 32 to 1, the longest first."""
+    parts = []
+    rest = length
+    for step in MOVE_STEPS:
+        parts.append(F.array_repeat(F.lit(step), F.floor(rest / step).cast("int")))
+        rest = rest % step
+    return F.concat(*parts)
+
+
+def plain_moves(points: Column) -> Column:
+    """Moves along the axes, such as MOVE_E_32; a slanted side has no moves and is an error."""
+
+    def moves(e: Column) -> Column:
+        dx, dy = e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]
+        side = F.when((dx != 0) & (dy != 0), F.raise_error(F.lit("sides must run along an axis")).cast("string")).when(dx > 0, "E").when(dx < 0, "W").when(dy > 0, "N").otherwise("S")
+        length = F.bround(F.greatest(F.abs(dx), F.abs(dy))).cast("int")
+        return F.transform(dyadic(length), lambda n: F.concat(F.lit("MOVE_"), side, F.lit("_"), n.cast("string")))
+
+    return F.flatten(F.transform(neighbours(points), moves))
+
+
+def on_boundary(x: Column, y: Column, side: float = 250.0) -> Column:
+    return (x == 0) | (y == 0) | (x == side) | (y == side)
+
+
+def absorbing_mask(tokens: Column, share: float, seed: str, mask: int) -> Column:
+    """tokens with round(share n) of them masked, those of the least digests of seed and place."""
+
+    def of(t: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(t) - 1)
+        ranked = F.array_sort(F.transform(places, lambda i: F.struct(F.sha2(F.concat(F.lit(f"{seed}:"), i.cast("string")).cast("binary"), 256).alias("h"), i.alias("i"))))
+        chosen = F.transform(F.slice(ranked, F.lit(1), F.bround(F.size(t) * F.lit(share)).cast("int")), lambda r: r["i"])
+        return F.when(F.size(t) == 0, t).otherwise(let(chosen, lambda c: F.transform(t, lambda x, i: F.when(F.array_contains(c, i), F.lit(mask)).otherwise(x))))
+
+    return let(tokens, of)
