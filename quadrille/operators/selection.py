@@ -79,3 +79,8 @@ def donors(df: DataFrame, bucket: list[str], key: str, seed: str) -> DataFrame:
     first = F.first(key).over(Window.partitionBy(*bucket).orderBy("__h", key).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     found = ranked.withColumn("donor", F.coalesce(F.lead(key).over(w), first)).drop("__h")
     return found.withColumn("donor", F.when(F.col("donor") != F.col(key), F.col("donor")))
+
+
+def round_robin(units: DataFrame, order: list[str], parts: int) -> DataFrame:
+    """units with part: 0 to parts - 1 in turn, in order. units are few beside their rows (tiles, not cells); one task numbers them."""
+    return units.withColumn("part", F.pmod(F.row_number().over(Window.orderBy(*order)) - 1, F.lit(parts)).cast("long"))

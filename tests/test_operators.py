@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadrille import sinks, streaming
-from quadrille.operators import frequency, graph, grid, percentiles, policy, selection, sets, stats, tokens
+from quadrille.operators import frequency, graph, grid, percentiles, policy, rollup, selection, sets, stats, tokens, verdicts
 from quadrille.sources import tables
 
 
@@ -216,3 +216,37 @@ def test_streams_agree_with_batches(spark, tmp_path):
         assert got.items() <= batch.items() and (name == "s" or got == batch)
 
 
+
+
+def test_bootstrap_and_ridge_against_plain_forms(spark):
+    import numpy as np
+
+    rng = random.Random(4)
+    rows = [(float(x), float(x**1.5 * rng.uniform(0.8, 1.2))) for x in range(1, 30)]
+    low, high = verdicts.bootstrap_slopes(spark.createDataFrame(rows, "x double, y double"), "x", "y", 100, 3).first()
+    assert low < 1.5 < high and high - low < 0.5
+    assert verdicts.bootstrap_slopes(spark.createDataFrame(rows, "x double, y double"), "x", "y", 100, 3).first() == (low, high)
+    data = [(k, rng.uniform(0, 1), rng.uniform(0, 1)) for k in range(200)]
+    data = [(k, a, b, 3 * a - b + 1 + rng.uniform(-0.1, 0.1)) for k, a, b in data]
+    got = verdicts.ridge_r2(spark.createDataFrame(data, "k int, a double, b double, y double"), F.col("k") % 5, ["a", "b"], "y", 1.0, 5).first()[0]
+    x, y, fold = np.array([[a, b, 1] for _, a, b, _ in data]), np.array([d[3] for d in data]), np.arange(200) % 5
+    error = 0
+    for f in range(5):
+        t = fold != f
+        w = np.linalg.solve(x[t].T @ x[t] + np.diag([1.0, 1.0, 0.0]), x[t].T @ y[t])
+        error += ((y[~t] - x[~t] @ w) ** 2).sum()
+    assert got == pytest.approx(1 - error / ((y - y.mean()) ** 2).sum())
+
+
+def test_redundancy(spark):
+    import gzip
+
+    data = [b"", b"abc" * 500, bytes(range(256))]
+    got = spark.createDataFrame([(k, bytearray(d)) for k, d in enumerate(data)] + [(3, None)], "k int, d binary").orderBy("k").select(rollup.redundancy(F.col("d"))).collect()
+    assert [r[0] for r in got] == [0.0] + [pytest.approx(1 - len(gzip.compress(d, 6)) / len(d)) for d in data[1:]] + [None]
+
+
+def test_an_empty_score_table(spark):
+    none = spark.createDataFrame([], "model string, city int, ks double, n long, sem double")
+    assert verdicts.binding(none).count() == 0 and verdicts.memorisation(none.select("city", F.col("ks").alias("ks_own"), F.col("ks").alias("ks_train")), ["city"]).count() == 0
+    assert verdicts.sane(none).first().sane is False
