@@ -53,19 +53,43 @@ def fingerprints(docs: DataFrame, hashed=digest) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fingerprint string")
 
 
-def collisions(docs: DataFrame, hashed=digest) -> DataFrame:
-    """fingerprint: those that texts of different canonical bytes share.
+#: Bits of the filter of fingerprints that several rows have: 8 MB, whatever there is of them.
+FILTER_BITS = 1 << 26
+
+
+def repeated(found: DataFrame) -> np.ndarray:
+    """A filter of fixed size that has every fingerprint which more than one row of found has (and a few more): the text of any other is
+    not to be compared. Its words, FILTER_BITS / 64 at most, are what reaches the driver."""
+    slot = F.pmod(F.xxhash64("fingerprint"), F.lit(FILTER_BITS))
+    many = found.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select(slot.alias("slot"))
+    words = many.groupBy(F.shiftright("slot", 6).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 AS INT)))").alias("bits"))
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    for word, bits in words.collect():
+        out[word] = bits
+    return out.view(np.uint64)
+
+
+def collisions(docs: DataFrame, hashed=digest, among: np.ndarray | None = None) -> DataFrame:
+    """fingerprint: those that texts of different canonical bytes share. among is the filter of those that several rows have; without it
+    all texts are compared.
 
     Each task sends a canonical text once (as long as it remembers it), so a large group of copies is a
     few rows before the shuffle; the compressed bytes, which are equal exactly if the texts are, are
     then compared in each bucket by their least and greatest."""
 
+    shared = docs.sparkSession.sparkContext.broadcast(among)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
         pack, seen, size = zstandard.ZstdCompressor(level=1), OrderedDict(), 0
         for batch in slices(batches, "text"):
             keys, values = [], []
             for text in batch.column(1).to_pylist():
-                key, value = hashed(text), pack.compress(canonical(text))
+                key = hashed(text)
+                slot = xxhash.xxh64_intdigest(key, 42) & (FILTER_BITS - 1)
+                if words is not None and not int(words[slot >> 6]) >> (slot & 63) & 1:
+                    continue
+                value = pack.compress(canonical(text))
                 if seen.get(key) == value:
                     seen.move_to_end(key)
                     continue
@@ -91,7 +115,7 @@ def exact_groups(docs: DataFrame, hashed=digest) -> DataFrame:
 def grouped(found: DataFrame, docs: DataFrame, hashed=digest) -> DataFrame:
     """found(doc_id, fingerprint, any more columns), the fingerprints of docs, with group_id."""
     found = bucketed(found, "fingerprints")
-    shared = stored(collisions(docs, hashed), "collisions")
+    shared = stored(collisions(docs, hashed, repeated(found)), "collisions")
     if shared.isEmpty():
         return attach(found, "fingerprint", found.groupBy("fingerprint").agg(F.min("doc_id").alias("group_id")))
 
