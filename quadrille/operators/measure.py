@@ -239,11 +239,11 @@ def densify(points: Column, longest: float) -> Column:
 
 
 def closure_gap(points: Column) -> Column:
-    """How far the ends are apart, as a share of the diagonal of the bounds (1 if that is 0); null below four points."""
+    """How far the ends are apart, as a share of the diagonal of the bounds (0 if there is none); null below four points."""
     b = geometry.bounds(F.array(points))
     a, z = F.element_at(points, 1), F.element_at(points, -1)
     diagonal = F.hypot(b["max_x"] - b["min_x"], b["max_y"] - b["min_y"])
-    return F.when(F.size(points) >= 4, F.coalesce(F.try_divide(F.hypot(a["x"] - z["x"], a["y"] - z["y"]), diagonal), F.lit(1.0)))
+    return F.when(F.size(points) >= 4, F.coalesce(F.try_divide(F.hypot(a["x"] - z["x"], a["y"] - z["y"]), diagonal), F.lit(0.0)))
 
 
 def bearing_error(decoded: Column, source: Column, least: float = 2.0) -> Column:
