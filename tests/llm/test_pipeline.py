@@ -66,3 +66,29 @@ def test_stages_against_plain_versions(spark):
     want = {i: library.encode_ordinary(t or "") for i, t in as_dict(masked).items()}
     assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in stages[4](spark, masked, SF).collect()} == want
     assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in corpus_pipeline.run(spark, SF).collect()} == want
+
+
+def test_stages_at_the_edges(spark):
+    """Nulls in any column, empty and repeated rows, an empty table, through every stage after the classifier, and those that it keeps."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 100").first().text
+    plain = "".join(f"some quite ordinary words number {k} of a longer text, " for k in range(12))
+    rows = [
+        (900001, None, None, None, None), (900002, "", "en", "s", 0), (None, "lonely " + plain, "en", "s", 5), (None, "lonely " + plain, "en", "s", 5),
+        (900003, plain, "en", "s", 5), (900003, plain, "en", "s", 5), (900004, plain + "token = abcdefgh12", "en", None, 9), (900005, f"before {item} after", None, "s", 1),
+    ]
+    edge = spark.createDataFrame(rows, docs.schema)
+    stages = dict(corpus_pipeline.STAGES)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    kept = stages["quality classifier"](spark, edge, SF)
+    assert kept.columns == docs.columns and kept.count() <= len(rows)
+    single = stages["SimHash near-dedup"](spark, edge, SF).collect()
+    assert sorted(str(r.doc_id) for r in single if (r.text or "").startswith("lonely")) == ["None"]
+    assert sum(r.text in (None, "") for r in single) == 1 and sum(r.doc_id == 900003 for r in single) == 1
+    clean = stages["benchmark decontamination"](spark, edge, SF)
+    assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(r[0]) for r in rows[:-1])
+    masked = {(r.doc_id, r.text, r.n_chars) for r in stages["secret scans"](spark, edge, SF).collect()}
+    assert (900004, plain + "[secret]", len(plain) + 8) in masked and (900001, None, None) in masked and len(masked) == 6
+    tokens = stages["byte-level BPE"](spark, edge, SF).collect()
+    assert len(tokens) == len(rows) and {r.doc_id: r.n_tokens for r in tokens}[900001] == 0
