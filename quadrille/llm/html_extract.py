@@ -15,6 +15,7 @@ import html
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -61,6 +62,7 @@ def parse(page: str) -> Tree:
     tree = Tree()
     stack: list[tuple[str, int]] = [("#root", tree.add("#root", -1, []))]
     pending: list[str] = []
+    standing = Counter()  # how many of each tag are open: what isn't needs no search
     link = foreign = 0
     skip_to = 0
 
@@ -76,6 +78,7 @@ def parse(page: str) -> Tree:
         if any(t in BLOCK for t, _ in stack[k:]):
             flush()
         for t, _ in stack[k:]:
+            standing[t] -= 1
             link -= t == "a"
             foreign -= t in FOREIGN
             if t in APART:
@@ -99,13 +102,10 @@ def parse(page: str) -> Tree:
         if not tag:
             continue
         if m[1] or m[4]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    pop(k)
-                    break
-            else:
-                if tag in BLOCK:
-                    flush()
+            if standing[tag]:
+                pop(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag))
+            elif tag in BLOCK:
+                flush()
             continue
         rest = m[3] if m[2] else m[6]
         if tag in RAW and not (foreign and rest.endswith("/")):
@@ -116,7 +116,7 @@ def parse(page: str) -> Tree:
                 continue
         if tag in BLOCK:
             flush()
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if standing["p"] else ():
                 if stack[k][0] == "p":
                     pop(k)
                     break
@@ -124,7 +124,7 @@ def parse(page: str) -> Tree:
                     break
         if tag in CLOSES:
             which, until = CLOSES[tag]
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if any(standing[t] for t in which) else ():
                 if stack[k][0] in which:
                     pop(k)
                     break
@@ -148,6 +148,7 @@ def parse(page: str) -> Tree:
             node = tree.add(tag, node, tokens, mark)
         link += tag == "a"
         foreign += tag in FOREIGN
+        standing[tag] += 1
         stack.append((tag, node))
     text(page[max(at, skip_to) :])
     flush()
@@ -424,17 +425,31 @@ def train(pages: int = 900, seed: int = 1) -> Boosted:
     return boost(np.concatenate(x), np.concatenate(y).astype(float))
 
 
-def main_text(trees: list[Tree], model: Boosted) -> list[str]:
+#: Nodes whose features are held at once (a page that has more stands alone).
+NODES_AT_ONCE = 20_000
+
+
+def main_text(trees: Iterator[Tree], model: Boosted) -> list[str]:
     """The article of each page: blocks in order, an empty line between them."""
-    if not trees:
-        return []
-    rows = [features(t) for t in trees]
-    logits = model.logits(np.concatenate(rows))
-    out, at = [], 0
-    for tree, own in zip(trees, rows):
-        kept = decode(tree.parents, logits[at : at + len(own)])
-        at += len(own)
-        out.append("\n\n".join(text for node, text in tree.texts if kept[node]))
+    out: list[str] = []
+    held: list[Tree] = []
+
+    def judge() -> None:
+        rows = [features(t) for t in held]
+        logits = model.logits(np.concatenate(rows))
+        at = 0
+        for tree, own in zip(held, rows):
+            kept = decode(tree.parents, logits[at : at + len(own)])
+            at += len(own)
+            out.append("\n\n".join(text for node, text in tree.texts if kept[node]))
+        held.clear()
+
+    for tree in trees:
+        if held and sum(len(t.tags) for t in held) + len(tree.tags) > NODES_AT_ONCE:
+            judge()
+        held.append(tree)
+    if held:
+        judge()
     return out
 
 
@@ -445,7 +460,7 @@ def extract(pages: DataFrame, model: Boosted | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
-            texts = main_text([parse(h or "") for h in batch.column(2).to_pylist()], shared.value)
+            texts = main_text((parse(h or "") for h in batch.column(2).to_pylist()), shared.value)
             yield pa.RecordBatch.from_pydict({"page_id": batch.column(0), "url": batch.column(1), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
     kinds = [f"{c} {pages.schema[c].dataType.simpleString()}" for c in ("page_id", "url")]

@@ -4,6 +4,7 @@ from itertools import product
 import numpy as np
 import pytest
 
+from quadrille.llm import html_extract
 from quadrille.llm.html_extract import Maker, decode, extract, main_text, parse, train
 
 
@@ -88,3 +89,21 @@ def test_rows(spark, model):
     long = "\n\n".join(["word word."] * 20000)
     assert got == sorted([(1, "u", text, len(text)), (2, None, "", 0), (3, "u", "", 0), (None, "v", text, len(text)), (1, "u", text, len(text)), (4, "w", long, len(long))], key=str)
     assert extract(pages.limit(0), model).count() == 0
+
+
+def test_deep_and_wide_pages(model):
+    """Elements left open by the thousand are no more than linear work, and many pages at once give what each gives alone."""
+    import time
+
+    began = time.time()
+    for page in ("<main>" * 20_000 + "x", "<p>a" * 20_000, "<ul>" + "<li>b" * 20_000, "<div><span>" * 10_000, "</i>" * 50_000, "<table>" + "<tr><td>c" * 10_000):
+        parse(page)
+    assert time.time() - began < 8
+    pages = [Maker(seed).page() for seed in range(30)]
+    assert main_text(map(parse, pages), model) == [main_text([parse(p)], model)[0] for p in pages] and main_text([], model) == []
+    before = html_extract.NODES_AT_ONCE
+    try:
+        html_extract.NODES_AT_ONCE = 10
+        assert main_text(map(parse, pages), model) == [main_text([parse(p)], model)[0] for p in pages]
+    finally:
+        html_extract.NODES_AT_ONCE = before
