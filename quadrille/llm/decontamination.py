@@ -7,7 +7,8 @@ every segment, block by block. It looks up the terms of each window, passes over
 and intersects the position lists of the rest, each shifted by the term's place in the window,
 starting from the rarest term. Nothing is shuffled: a document's postings are in one segment.
 
-Terms are 64-bit hashes of words. Positions count words over a segment with one place left free
+Terms are 64-bit hashes of words, in the order of which a segment also has the words: a benchmark's word is looked up by its hash and
+held against the word itself. Positions count words over a segment with one place left free
 between documents, so that no phrase reaches over an end.
 """
 
@@ -38,56 +39,83 @@ _WORD[0x61:0x7B] = np.arange(0x61, 0x7B)
 _WORD[0x80:] = np.arange(0x80, 0x100)
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each word [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after A-Z are lower-cased, and its row."""
+def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes after A-Z are lower-cased, and where the words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ start and end in them."""
     lower = _WORD[data]
-    starts, ends = runs(lower != 0, offsets)
+    return lower, *runs(lower != 0, offsets)
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word, and its row."""
+    lower, starts, ends = cut(data, offsets)
     return hashes(lower, starts, ends), rows_of(starts, offsets)
 
 
+def spelt(lower: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The bytes of the given words, one after the other."""
+    lengths = ends - starts
+    firsts = np.cumsum(lengths) - lengths
+    return lower[np.arange(int(lengths.sum())) + np.repeat(starts - firsts, lengths)]
+
+
 def build_index(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """The segments of docs(doc_id, text), not yet written: segment (a number of its own, drawn at random),
-    doc_ids (of the segment's rows, in order), n_words (of each row), terms (sorted 64-bit hashes), ends (of each term's positions) and positions
+    doc_ids (of the segment's rows, in order), n_words (of each row), words (of the terms, joined) and word_ends, terms (sorted 64-bit hashes), ends (of each term's positions) and positions
     (32-bit), the last three as little-endian arrays. Null texts have no words; a null doc_id stays."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", segment_bytes):
-            term, row = words(*text_bytes(batch.column(1)))
+            data, offsets = text_bytes(batch.column(1))
+            lower, starts, stops = cut(data, offsets)
+            term, row = hashes(lower, starts, stops), rows_of(starts, offsets)
             at = np.arange(len(term)) + row  # one place free between rows
             order = np.argsort(term, kind="stable")
             unique, first = np.unique(term[order], return_index=True)
             ends = np.append(first[1:], len(term)) if len(term) else first
+            some = order[first]
             columns = {
                 "segment": pa.array([uuid.uuid4().hex]),
                 "doc_ids": pa.array([batch.column(0).to_pylist()], pa.list_(batch.column(0).type)),
                 "n_words": pa.array([np.bincount(row, minlength=batch.num_rows)], pa.list_(pa.int64())),
+                "words": pa.array([spelt(lower, starts[some], stops[some]).tobytes()]),
+                "word_ends": pa.array([np.cumsum(stops[some] - starts[some]).astype("<i4").tobytes()]),
                 "terms": pa.array([unique.astype("<u8").tobytes()]),
                 "ends": pa.array([ends.astype("<i4").tobytes()]),
                 "positions": pa.array([at[order].astype("<i4").tobytes()]),
             }
             yield pa.RecordBatch.from_pydict(columns)
 
-    schema = f"segment string, doc_ids array<{kind}>, n_words array<long>, terms binary, ends binary, positions binary"
+    schema = f"segment string, doc_ids array<{kind}>, n_words array<long>, words binary, word_ends binary, terms binary, ends binary, positions binary"
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 @dataclass
 class Windows:
-    """The windows of a block of items: places in terms, -1 beyond a short window; the item of each."""
+    """The windows of a block of items: places in words and their terms, -1 beyond a short window; the item of each."""
 
+    words: list[bytes]
     terms: np.ndarray
     places: np.ndarray
     items: np.ndarray
     names: list[str]
 
 
+def vocabulary(texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """The different words of the texts and their terms; the number and the row of each word that stands there."""
+    data, offsets = text_bytes(pa.array(texts, pa.string()))
+    lower, starts, ends = cut(data, offsets)
+    known: dict[bytes, int] = {}
+    raw = lower.tobytes()
+    ids = np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip(starts.tolist(), ends.tolist())], np.int64)
+    first = np.unique(ids, return_index=True)[1]
+    return list(known), hashes(lower, starts, ends)[first], ids, rows_of(starts, offsets)
+
+
 def windows(rows: list[tuple[object, str | None]], width: int = WINDOW) -> Windows:
     """All windows of width consecutive words of each item; an item of fewer words, but not none, is
     one window. Items of the same id count as one."""
-    data, offsets = text_bytes(pa.array([t for _, t in rows], pa.string()))
-    term, row = words(data, offsets)
-    terms, ids = np.unique(term, return_inverse=True)
+    own_words, term, ids, row = vocabulary([t for _, t in rows])
     names = sorted({str(i) for i, _ in rows})
     number = {name: k for k, name in enumerate(names)}
     places, items = [], []
@@ -103,32 +131,37 @@ def windows(rows: list[tuple[object, str | None]], width: int = WINDOW) -> Windo
         places.append(views)
         items.append(np.full(len(views), number[str(name)]))
     if not places:
-        return Windows(terms, np.zeros((0, width), np.int64), np.zeros(0, np.int64), names)
+        return Windows(own_words, term, np.zeros((0, width), np.int64), np.zeros(0, np.int64), names)
     both = np.unique(np.column_stack([np.concatenate(items), np.concatenate(places)]), axis=0)
-    return Windows(terms, both[:, 1:], both[:, 0], names)
+    return Windows(own_words, term, both[:, 1:], both[:, 0], names)
 
 
 class Segment:
     """The postings of one row of the index."""
 
-    def __init__(self, n_words, terms: bytes, ends: bytes, positions: bytes):
+    def __init__(self, n_words, words: bytes, word_ends: bytes, terms: bytes, ends: bytes, positions: bytes):
+        self.words, self.word_ends = words, np.frombuffer(word_ends, "<i4")
         self.terms = np.frombuffer(terms, "<u8")
         self.ends = np.frombuffer(ends, "<i4").astype(np.int64)
         self.positions = np.frombuffer(positions, "<i4")
         self.n_words = np.asarray(n_words, np.int64)
         self.bases = np.concatenate([[0], np.cumsum(self.n_words + 1)])[:-1] if len(self.n_words) else np.zeros(0, np.int64)
 
-    def lookup(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where each term's positions begin and end here."""
+    def lookup(self, terms: np.ndarray, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Where each word's positions begin and end here; nowhere if another word has its hash."""
+        begin, end = np.zeros(len(terms), np.int64), np.zeros(len(terms), np.int64)
         if not len(self.terms):
-            return np.zeros(len(terms), np.int64), np.zeros(len(terms), np.int64)
+            return begin, end
         k = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
-        starts = np.concatenate([[0], self.ends[:-1]])
-        return np.where(self.terms[k] == terms, starts[k], 0), np.where(self.terms[k] == terms, self.ends[k], 0)
+        for i in np.flatnonzero(self.terms[k] == terms).tolist():
+            j = int(k[i])
+            if self.words[self.word_ends[j - 1] if j else 0 : self.word_ends[j]] == words[i]:
+                begin[i], end[i] = self.ends[j - 1] if j else 0, self.ends[j]
+        return begin, end
 
     def phrases(self, w: Windows) -> Iterator[tuple[int, int, np.ndarray]]:
         """The number, length and ascending starting positions of each window that stands here."""
-        begin, end = self.lookup(w.terms)
+        begin, end = self.lookup(w.terms, w.words)
         count = np.append(end - begin, np.iinfo(np.int64).max)  # the last is for places beyond a short window
         sizes = count[w.places]
         for k in np.flatnonzero((sizes > 0).all(1)):
@@ -148,11 +181,10 @@ class Segment:
             if len(found):
                 yield int(k), length, found
 
-    def near(self, terms: np.ndarray, span: int) -> np.ndarray:
-        """Rows that have all terms, in any order, within span consecutive words: every occurrence of
+    def near(self, terms: np.ndarray, words: list[bytes], span: int) -> np.ndarray:
+        """Rows that have all of the (different) words, in any order, within span consecutive words: every occurrence of
         the rarest term is held against the next occurrences of the others on either side."""
-        terms = np.unique(terms)
-        begin, end = self.lookup(terms)
+        begin, end = self.lookup(terms, words)
         if not len(terms) or (begin == end).any():
             return np.zeros(0, np.int64)
         lists = sorted((self.positions[b:e].astype(np.int64) for b, e in zip(begin, end)), key=len)
@@ -198,7 +230,7 @@ def _passes(index: DataFrame, values: Iterator, run, schema: str) -> DataFrame:
                 for r in range(batch.num_rows):
                     yield from run(batch.slice(r, 1).to_pylist()[0], shared.value)
 
-        part = stored(index.select("segment", "n_words", "terms", "ends", "positions").mapInArrow(one, schema), "hits")
+        part = stored(index.select("segment", "n_words", "words", "word_ends", "terms", "ends", "positions").mapInArrow(one, schema), "hits")
         shared.destroy()
         found = part if found is None else found.unionByName(part)
     return found
@@ -215,7 +247,7 @@ def search(index: DataFrame, items: DataFrame, width: int = WINDOW, block_bytes:
     spans_type = "array<struct<start:bigint,end:bigint>>"
 
     def run(row: dict, w: Windows) -> Iterator[pa.RecordBatch]:
-        segment = Segment(row["n_words"], row["terms"], row["ends"], row["positions"])
+        segment = Segment(*(row[c] for c in ("n_words", "words", "word_ends", "terms", "ends", "positions")))
         if not len(segment.n_words):
             return
         edges = np.zeros(int(segment.n_words.sum()) + len(segment.n_words) + 1, np.int32)
@@ -270,14 +302,15 @@ def search(index: DataFrame, items: DataFrame, width: int = WINDOW, block_bytes:
 def search_near(index: DataFrame, items: DataFrame, span: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id (string): documents that have all words of an item, in any order, within span
     consecutive words; one row for each indexed row and item. An item longer than span never matches."""
-    def sets(block: list[tuple]) -> list[tuple[str, np.ndarray]]:
-        term, row = words(*text_bytes(pa.array([t for _, t in block], pa.string())))
-        return [(block[i][0], term[row == i]) for i in np.unique(row)]
-
-    def run(row: dict, wanted: list[tuple[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        segment = Segment(row["n_words"], row["terms"], row["ends"], row["positions"])
-        for name, terms in wanted:
-            found = segment.near(terms, span)
+    def sets(block: list[tuple]) -> list[tuple[str, np.ndarray, list[bytes]]]:
+        own, term, ids, row = vocabulary([t for _, t in block])
+        numbers = [(i, np.unique(ids[row == i])) for i in np.unique(row)]
+        return [(block[i][0], term[k], [own[j] for j in k.tolist()]) for i, k in numbers]
+
+    def run(row: dict, wanted: list[tuple[str, np.ndarray, list[bytes]]]) -> Iterator[pa.RecordBatch]:
+        segment = Segment(*(row[c] for c in ("n_words", "words", "word_ends", "terms", "ends", "positions")))
+        for name, terms, own in wanted:
+            found = segment.near(terms, own, span)
             if len(found):
                 yield pa.RecordBatch.from_pydict({"segment": pa.array([row["segment"]] * len(found)), "row": pa.array(found, pa.int64()), "item_id": pa.array([name] * len(found))})
 

@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from quadrille.llm import decontamination
 from quadrille.llm.decontamination import contamination, drop_contaminated, search, search_near, written_index
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -79,3 +80,18 @@ def test_one_very_long_text_and_many_hits(spark, rows):
     got = {r.doc_id: r for r in contamination(d, spark.createDataFrame(items[:2] + [(23, "a b")], "item_id long, text string")).collect()}
     assert got[1].n_words == len(words(long)) and got[1].n_hit >= 2000 * len(words(items[0][1])) and "0" in got[1].items
     assert (got[2].n_hit, got[2].items, len(got[2].spans)) == (40_000, ["23"], 1)
+
+
+def test_words_of_one_hash_are_different_words(spark, rows):
+    """A word is looked up by its hash and then held against the word that is there."""
+    docs, items = rows
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items[:6], "item_id long, text string")
+    w = decontamination.windows([(i, t) for i, t in items[:6]])
+    assert len(w.words) == len(set(w.words)) == len(w.terms)
+    data, offsets = decontamination.text_bytes(decontamination.pa.array(["aa bb"]))
+    lower, starts, ends = decontamination.cut(data, offsets)
+    term = decontamination.hashes(lower, starts, ends)
+    segment = decontamination.Segment([2], b"aabb", decontamination.np.array([2, 4], "<i4").tobytes(), term.tobytes(), decontamination.np.array([1, 2], "<i4").tobytes(), decontamination.np.array([0, 1], "<i4").tobytes())
+    begin, end = segment.lookup(term, [b"xx", b"bb"])  # the first word has the hash of another
+    assert begin.tolist() == [0, 1] and end.tolist() == [0, 2]
+    assert sorted(r.doc_id for r in contamination(d, b).where("contaminated").collect()) == sorted(r[0] for r in brute(docs, items[:6]) if r[-1])
