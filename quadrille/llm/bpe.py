@@ -36,9 +36,10 @@ WHITE = "\t-\r \x85\xa0  -     　"
 CUT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Cuts of a text at which a match of that pattern always begins: what stands between white space, with one space before it.
 CHUNKS = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+CHUNK_CUT = CHUNKS.findall
 MAX_STATES = 150_000
 #: Encoded strings that are kept at hand in each of two generations, and the longest of them.
-MAX_CHUNKS = 250_000
+MAX_CHUNKS = 400_000
 LONGEST_CHUNK = 64
 
 
@@ -263,7 +264,7 @@ class Encoder:
         self.transducer = Transducer(ranks)
         # \s is spelt out, so that both libraries agree on what white space is.
         self.pieces = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]"))
-        self.cut = CHUNKS.findall if pattern == CUT_PATTERN else self._matches
+        self.cut = CHUNK_CUT if pattern == CUT_PATTERN else self._matches
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.max_chunks = max_chunks
@@ -279,10 +280,12 @@ class Encoder:
         return ids
 
     def _chunk(self, chunk: str) -> bytes:
-        known = self.known.get(chunk) or self.older.get(chunk)
+        known = self.older.get(chunk)
         if known is not None:
             return self._keep(chunk, known)
-        pieces = self._matches(chunk) if self.cut != self._matches else [chunk]
+        word = chunk[1:] if chunk[0] == " " else chunk
+        # ASCII letters, a space before them or not, are one match; so is any cut that the pattern itself made.
+        pieces = [chunk] if word.isascii() and word.isalpha() or self.cut is not CHUNK_CUT else self._matches(chunk)
         if len(pieces) == 1:
             return self._keep(chunk, as_bytes(self.transducer.encode(chunk.encode())))
         ids = []
@@ -292,8 +295,15 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        get, make = self.known.get, self._chunk
-        return b"".join([get(c) or make(c) for c in self.cut(text)])
+        chunks = self.cut(text)
+        found = list(map(self.known.get, chunks))
+        at = -1
+        while True:
+            try:
+                at = found.index(None, at + 1)  # the next that isn't at hand
+            except ValueError:
+                return b"".join(found)
+            found[at] = self._chunk(chunks[at])
 
 
 #: States of the UTF-8 machine: (bytes still missing, least and greatest next byte). Fixed values.
