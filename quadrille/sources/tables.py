@@ -74,3 +74,12 @@ def read_geojson(spark: SparkSession, path: str, properties: str) -> DataFrame:
     """A row for each feature of FeatureCollections: type, coordinates (as JSON) and the given properties."""
     df = spark.read.schema(f"features array<struct<geometry: struct<type: string, coordinates: string>, properties: struct<{properties}>>>").option("multiLine", True).json(path)
     return df.select(F.explode("features").alias("f")).select("f.geometry.type", "f.geometry.coordinates", "f.properties.*")
+
+
+def read_table(df: DataFrame, columns: str) -> DataFrame:
+    """The named columns of a scan in the types that are asked for; a missing one is an error. Others aren't read."""
+    from pyspark.sql import types as T
+
+    schema = T.StructType.fromDDL(columns)
+    require(df, schema.fieldNames())
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
