@@ -27,7 +27,7 @@ from quadrille.llm.common import hashes, rows_of, runs, slices, stored, text_byt
 
 WINDOW = 10
 #: Text in a segment, unless one document has more.
-SEGMENT_BYTES = 1 << 20
+SEGMENT_BYTES = 512 << 10
 #: Benchmark text in a block. One block is broadcast at a time, and each is taken to all segments.
 BLOCK_BYTES = 8 << 20
 
