@@ -46,22 +46,31 @@ def anchor(x: Column, y: Column) -> Column:
 
 def move(dx: Column, dy: Column) -> Column:
     """Pairs of direction and length tokens."""
-    quanta = F.bround(F.sqrt(dx * dx + dy * dy) / STEP_M).cast("int")
-    return let(direction(dx, dy) + DIRECTION, lambda d: F.flatten(F.transform(chunks(quanta), lambda q: F.array(d, q + (LENGTH - 1)))))
+
+    def pairs(m: Column) -> Column:
+        one = F.array(m["d"], m["q"] + (LENGTH - 1))
+        many = F.flatten(F.transform(chunks(m["q"]), lambda q: F.array(m["d"], q + (LENGTH - 1))))
+        return F.when(m["q"] <= LONGEST, one).otherwise(many)
+
+    # The length and the direction are worked out once for each move, and most moves are one piece.
+    quanta = F.greatest(F.lit(1), F.bround(F.sqrt(dx * dx + dy * dy) / STEP_M).cast("int"))
+    return let(F.struct((direction(dx, dy) + DIRECTION).alias("d"), quanta.alias("q")), pairs)
+
+
+def moves(points: Column) -> Column:
+    """The moves from each point to the next."""
+    return F.flatten(F.transform(neighbours(points), lambda e: move(e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"])))
 
 
 def encode(tag: Column, points: Column) -> Column:
     """points: array of (x, y). All moves are between neighbours."""
-    x, y = points[0]["x"], points[0]["y"]
-    steps = F.transform(F.sequence(F.lit(1), F.size(points) - 1), lambda k: move(F.get(points, k)["x"] - F.get(points, k - 1)["x"], F.get(points, k)["y"] - F.get(points, k - 1)["y"]))
-    body = F.when(F.size(points) > 1, F.flatten(steps)).otherwise(F.array().cast("array<int>"))
-    return F.concat(F.array(F.lit(FEATURE), tag.cast("int")), anchor(x, y), body, F.array(F.lit(FEATURE_END)))
+    return let(points, lambda p: F.concat(F.array(F.lit(FEATURE), tag.cast("int")), anchor(p[0]["x"], p[0]["y"]), moves(p), F.array(F.lit(FEATURE_END))))
 
 
 def cost(points: Column) -> Column:
     """Tokens of a feature: 7 and two for each piece of a move."""
-    lengths = F.transform(F.sequence(F.lit(1), F.size(points) - 1), lambda k: F.size(move(F.get(points, k)["x"] - F.get(points, k - 1)["x"], F.get(points, k)["y"] - F.get(points, k - 1)["y"])))
-    return F.lit(7) + F.when(F.size(points) > 1, F.aggregate(lengths, F.lit(0), lambda a, n: a + n)).otherwise(0)
+    pieces = lambda e: F.ceil(F.greatest(F.lit(1.0), F.bround(F.hypot(e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]) / STEP_M)) / LONGEST).cast("int")
+    return let(points, lambda p: F.aggregate(F.transform(neighbours(p), pieces), F.lit(7), lambda a, n: a + 2 * n))
 
 
 def blocks(tokens: Column) -> Column:
@@ -143,8 +152,8 @@ def encode_part(tag: Column, points: Column, inbound: Column | None = None, outb
 
         def put(k: Column) -> Column:
             last = F.when(outbound.isNotNull(), F.size(k) - 1).otherwise(F.size(k))
-            moves = F.flatten(F.transform(let(F.slice(k, F.lit(1), F.greatest(F.lit(0), last)), neighbours), lambda e: move(e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"])))
-            return F.concat(F.array(F.lit(FEATURE), tag.cast("int")), maybe(inbound), anchor(k[0]["x"], k[0]["y"]), moves, maybe(outbound), F.array(F.lit(FEATURE_END)))
+            steps = let(F.slice(k, F.lit(1), F.greatest(F.lit(0), last)), moves)
+            return F.concat(F.array(F.lit(FEATURE), tag.cast("int")), maybe(inbound), anchor(k[0]["x"], k[0]["y"]), steps, maybe(outbound), F.array(F.lit(FEATURE_END)))
 
         return let(kept, put)
 
