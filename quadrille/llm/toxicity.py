@@ -98,13 +98,14 @@ class Model:
         return at[good], k[good]
 
     def bags(self, data: np.ndarray, offsets: np.ndarray) -> tuple[Sentences, np.ndarray, np.ndarray]:
-        """The sentences, and (sentence, feature number) pairs, each once."""
+        """The sentences, and (sentence, feature number) pairs, each as often as it stands: a telling word alone may be chance, where
+        several in a sentence are not."""
         s = sentences(data, offsets)
         pairs = []
         for starts, values in features(data, offsets):
             at, k = self.find(values)
             pairs.append((np.searchsorted(s.starts, starts[at], side="right") - 1) * (len(self.features) + 1) + k)
-        both = np.unique(np.concatenate(pairs))
+        both = np.sort(np.concatenate(pairs))
         return s, both // (len(self.features) + 1), both % (len(self.features) + 1)
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, Sentences, np.ndarray]:
