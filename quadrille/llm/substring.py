@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import pickle
+import uuid
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -220,8 +221,20 @@ def _document(body: bytes) -> tuple[bool, int, bytes]:
 
 
 def stretch_rows(answers: DataFrame, docs: DataFrame, parts: int, window: int) -> DataFrame:
-    """Stretches of words around recurring anchors, packed by the anchor's part: the different stretches
-    as (anchor, bytes), and for each place its stretch, key, doc_id and first word."""
+    """Stretches of words around recurring anchors, packed by the anchor's part in two rows: the different
+    stretches as (anchor, bytes) with the least and the greatest document each is in (kind 0), and for each
+    place its stretch, key, doc_id and first word (kind 1). A number that both have says which belong together."""
+
+    def packed(out: dict[int, tuple]) -> Iterator[pa.RecordBatch]:
+        mark = uuid.uuid4().hex
+        stretches = {}
+        for p, (contents, numbers, _, docs, _) in out.items():
+            least, most = np.full(len(contents), LAST), np.full(len(contents), np.iinfo(np.int64).min)
+            np.minimum.at(least, numbers, docs)
+            np.maximum.at(most, numbers, docs)
+            stretches[p] = (mark, list(contents), least, most)
+        yield _rows(stretches, 0)
+        yield _rows({p: (mark, *places) for p, (_, *places) in out.items()}, 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, known = None, ()
@@ -266,9 +279,9 @@ def stretch_rows(answers: DataFrame, docs: DataFrame, parts: int, window: int) -
                     column.append(x)
                 size += 40 + (len(stretch) if number == len(shard[0]) - 1 else 0)
             if size > PACK_BYTES:
-                yield _rows(out, 0)
+                yield from packed(out)
                 out, size = {}, 0
-        yield _rows(out, 0)
+        yield from packed(out)
 
     return _grouped(answers.unionByName(document_rows(docs, parts)), parts, run)
 
@@ -317,67 +330,85 @@ def hits(stretches: list[tuple[tuple[int, ...], int, int]], window: int) -> Iter
         yield [(first, smallest[number]) for first, number in places]
 
 
+#: Runs of words that are packed together.
+RUNS_AT_ONCE = 200_000
+
+
 def hit_rows(packed: DataFrame, parts: int, window: int) -> DataFrame:
-    """For each document the runs of words to remove, packed by its key's part: keys, first words, lengths."""
+    """For each document the runs of words to remove, packed by its key's part: keys, first words, lengths.
+
+    A part's different stretches are held at once; then its places go by, row by row, so a stretch
+    that stands in very many places is held once."""
+
+    def looked_through(held: list[tuple]) -> tuple[dict[str, np.ndarray], dict[int, tuple[np.ndarray, np.ndarray]]]:
+        """The number of each stretch of each row, and by number the windows in it that recur and their smallest documents."""
+        numbers: dict[tuple[int, bytes], int] = {}
+        which: dict[str, np.ndarray] = {}
+        least_, most_ = [], []
+        for mark, contents, least, most in held:
+            which[mark] = np.array([numbers.setdefault(c, len(numbers)) for c in contents], np.int64)
+            least_.append(least)
+            most_.append(most)
+        at = np.concatenate(list(which.values()))
+        least, most = np.full(len(numbers), LAST), np.full(len(numbers), np.iinfo(np.int64).min)
+        np.minimum.at(least, at, np.concatenate(least_))
+        np.maximum.at(most, at, np.concatenate(most_))
+        names = list(numbers)
+        found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def search(group: list[int]) -> None:
+            vocabulary: dict[bytes, int] = {}
+            stretches = [(tuple([vocabulary.setdefault(w, len(vocabulary)) for w in names[s][1].split(b" ")]), int(least[s]), int(most[s])) for s in group]
+            for s, places in zip(group, hits(stretches, window)):
+                if places:
+                    start, small = np.array(places, np.int64).T
+                    found[s] = (start, small)
+
+        group: list[int] = []
+        size = 0
+        for s in sorted(range(len(numbers)), key=names.__getitem__):
+            if size > AUTOMATON and names[s][0] != names[group[-1]][0]:
+                search(group)
+                group, size = [], 0
+            group.append(s)
+            size += names[s][1].count(b" ") + 2 - window
+        search(group)
+        return which, found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        part = None
-
-        def answer() -> pa.RecordBatch:
-            numbers: dict[tuple[int, bytes], int] = {}  # of the different stretches
-            which, keys, docs, firsts = [], [], [], []
-            for contents, number, key, doc_id, first in held:
-                global_ = np.array([numbers.setdefault(c, len(numbers)) for c in contents], np.int64)
-                which.append(global_[np.array(number, np.int64)])
-                keys += key
-                docs.append(np.array(doc_id, np.int64))
-                firsts.append(np.array(first, np.int64))
-            at, doc, first = np.concatenate(which), np.concatenate(docs), np.concatenate(firsts)
-            order = np.argsort(at, kind="stable")
-            begins = np.searchsorted(at[order], np.arange(len(numbers) + 1))
-            least, most = np.minimum.reduceat(doc[order], begins[:-1]).tolist(), np.maximum.reduceat(doc[order], begins[:-1]).tolist()
-            by_route = sorted(range(len(numbers)), key=(names := list(numbers)).__getitem__)
-            out: dict[int, tuple[list, list, list]] = {}
-
-            def emit(group: list[int]) -> None:
-                vocabulary: dict[bytes, int] = {}
-                stretches = [(tuple([vocabulary.setdefault(w, len(vocabulary)) for w in names[s][1].split(b" ")]), least[s], most[s]) for s in group]
-                for s, found in zip(group, hits(stretches, window)):
-                    if not found:
-                        continue
-                    start, small = np.array(found, np.int64).T
-                    for o in order[begins[s] : begins[s + 1]].tolist():
-                        here = start[small < doc[o]]
-                        if not len(here):
-                            continue
-                        runs = np.flatnonzero(np.diff(here, prepend=here[0] - 2) != 1)
-                        ends = np.append(runs[1:], len(here)) - 1
-                        rows = out.setdefault(int.from_bytes(keys[o][:8], "little") % parts, ([], [], []))
-                        rows[0].extend([keys[o]] * len(runs))
-                        rows[1].extend((here[runs] + first[o]).tolist())
-                        rows[2].extend((here[ends] - here[runs] + window).tolist())
-
-            group: list[int] = []
-            size = 0
-            for k, s in enumerate(by_route):
-                if size > AUTOMATON and names[s][0] != names[group[-1]][0]:
-                    emit(group)
-                    group, size = [], 0
-                group.append(s)
-                size += names[s][1].count(b" ") + 2 - window
-            emit(group)
-            return _rows(out, 0)
-
-        for new, _, body in _bodies(batches):
-            if new != part and held:
-                yield answer()
-                held = []
-            part = new
-            contents, *places = _unpack(body)
-            held.append((list(contents), *places))
-        if held:
-            yield answer()
+        known: tuple | None = None
+        out: dict[int, tuple[list, list, list]] = {}
+        part, size = None, 0
+        for new, kind, body in _bodies(batches):
+            if new != part:
+                part, held, known = new, [], None
+            if kind == 0:
+                held.append(_unpack(body))
+                continue
+            if known is None:
+                known, held = looked_through(held), []
+            which, found = known
+            mark, numbers, keys, docs, firsts = _unpack(body)
+            own = which[mark][np.array(numbers, np.int64)].tolist()
+            for s, key, doc, first in zip(own, keys, docs, firsts):
+                if s not in found:
+                    continue
+                start, small = found[s]
+                here = start[small < doc]
+                if not len(here):
+                    continue
+                runs = np.flatnonzero(np.diff(here, prepend=here[0] - 2) != 1)
+                ends = np.append(runs[1:], len(here)) - 1
+                rows = out.setdefault(int.from_bytes(key[:8], "little") % parts, ([], [], []))
+                rows[0].extend([key] * len(runs))
+                rows[1].extend((here[runs] + first).tolist())
+                rows[2].extend((here[ends] - here[runs] + window).tolist())
+                size += len(runs)
+            if size > RUNS_AT_ONCE:
+                yield _rows(out, 0)
+                out, size = {}, 0
+        yield _rows(out, 0)
 
     return _grouped(packed, parts, run)
 
