@@ -9,11 +9,9 @@ from __future__ import annotations
 import math
 import struct
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import PandasUDFType
 
 GEOMETRY = "struct<type:tinyint,parts:array<array<struct<x:double,y:double>>>>"
 
@@ -93,13 +91,26 @@ def to_wkb(kind: int, parts: list[list[tuple[float, float]]]) -> bytes:
 
 
 def decode(wkb: Column | str) -> Column:
-    """The geometry of a WKB column."""
-
-    def run(batch: pd.Series) -> pd.DataFrame:
-        found = [(None, None) if b is None else from_wkb(bytes(b)) for b in batch]
-        return pd.DataFrame({"type": pd.Series([k for k, _ in found], dtype="Int8"), "parts": [None if p is None else [[{"x": x, "y": y} for x, y in part] for part in p] for _, p in found]})
-
-    return F.pandas_udf(run, GEOMETRY, PandasUDFType.SCALAR)(wkb)
+    """The geometry of a WKB column, put together as flat arrays with offsets."""
+
+    def run(values: pa.Array) -> pa.Array:
+        kinds, xs, ys, points, parts, missing = [], [], [], [0], [0], []
+        for v in values.to_pylist():
+            kind, found = (None, []) if v is None else from_wkb(v)
+            kinds.append(kind)
+            missing.append(v is None)
+            for part in found:
+                xs += [p[0] for p in part]
+                ys += [p[1] for p in part]
+                points.append(len(xs))
+            parts.append(len(points) - 1)
+        point = pa.StructArray.from_arrays([pa.array(xs, pa.float64()), pa.array(ys, pa.float64())], names=["x", "y"])
+        each = pa.ListArray.from_arrays(pa.array(points, pa.int32()), point)
+        gone = pa.array(missing, pa.bool_())
+        whole = pa.ListArray.from_arrays(pa.array(parts, pa.int32()), each, mask=gone)
+        return pa.StructArray.from_arrays([pa.array(kinds, pa.int8()), whole], names=["type", "parts"])
+
+    return F.arrow_udf(run, GEOMETRY)(wkb)
 
 
 def encode(kind: Column | str, parts: Column | str) -> Column:
