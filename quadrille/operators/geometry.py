@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quadrille.functions import let, neighbours
+
 GEOMETRY = "struct<type:tinyint,parts:array<array<struct<x:double,y:double>>>>"
 
 
@@ -124,7 +126,7 @@ def encode(kind: Column | str, parts: Column | str) -> Column:
 
 def _pairs(points: Column) -> Column:
     """Neighbouring points as (a, b)."""
-    return F.arrays_zip(F.slice(points, F.lit(1), F.greatest(F.lit(0), F.size(points) - 1)).alias("a"), F.slice(points, F.lit(2), F.greatest(F.lit(0), F.size(points) - 1)).alias("b"))
+    return neighbours(points)
 
 
 def length(points: Column) -> Column:
@@ -170,11 +172,15 @@ def end_relation(a: Column, z: Column) -> Column:
 
 def canonical_ring(ring: Column, hole: bool = False) -> Column:
     """The same ring from its least vertex on, counter-clockwise (a hole clockwise), closed again."""
-    turn = signed_area(ring) > 0 if hole else signed_area(ring) < 0
-    body = F.slice(F.when(turn, F.reverse(ring)).otherwise(ring), F.lit(1), F.size(ring) - 1)
-    at = F.array_position(body, F.array_min(body)).cast("int")
-    around = F.concat(F.slice(body, at, F.size(body)), F.slice(body, F.lit(1), at - 1))
-    return F.concat(around, F.slice(around, 1, 1))
+
+    def turned(r: Column) -> Column:
+        wrong = signed_area(r) > 0 if hole else signed_area(r) < 0
+        return F.slice(F.when(wrong, F.reverse(r)).otherwise(r), F.lit(1), F.size(r) - 1)
+
+    def from_least(body: Column) -> Column:
+        return let(F.array_position(body, F.array_min(body)).cast("int"), lambda at: F.concat(F.slice(body, at, F.size(body)), F.slice(body, F.lit(1), at)))
+
+    return let(ring, lambda r: let(turned(r), from_least))
 
 
 def clip_line(points: list[tuple[float, float]], box: tuple[float, float, float, float]) -> list[list[tuple[float, float]]]:
