@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quadrille.plans import checks, corpus, evaluate, extras, invariants, labels, measures, profile, rollups, spatial
+from quadrille.plans import checks, corpus, evaluate, extras, invariants, labels, measures, profile, rollups, spatial, streams
 
-REGISTRIES = (spatial.query, measures.query, rollups.query, invariants.query, corpus.query, extras.query)
+REGISTRIES = (spatial.query, measures.query, rollups.query, invariants.query, corpus.query, extras.query, streams.query)
 QUERIES: dict = profile.QUERIES | labels.QUERIES | evaluate.QUERIES | checks.QUERIES
 ORACLE_SQL: dict[str, str] = profile.ORACLE_SQL | labels.ORACLE_SQL | evaluate.ORACLE_SQL | checks.ORACLE_SQL
 for registry in REGISTRIES:

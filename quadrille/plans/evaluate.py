@@ -262,6 +262,7 @@ def axis_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH t AS (SELECT c_nationkey AS k, c_nationkey % 5 AS g, count(*) AS n FROM customer GROUP BY 1)
 SELECT a.k, a.n, median(b.n) AS peers, a.n < 0.95 * median(b.n) OR a.n > 1.05 * median(b.n) AS outlier FROM t a JOIN t b ON a.g = b.g AND a.k <> b.k GROUP BY 1, 2 HAVING count(*) >= 2""")
 def peer_median_outlier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each against the others of its group, members squared: for cities, which are tens, not for their rows."""
     t = read(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("n")).withColumn("g", F.col("k") % 5)
     other = t.select("g", F.col("k").alias("k2"), F.col("n").alias("n2"))
     found = t.join(other, "g").where("k <> k2").groupBy("k", "n").agg(F.median("n2").alias("peers"), F.count("*").alias("m")).where("m >= 2")
