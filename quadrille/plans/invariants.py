@@ -130,6 +130,18 @@ def terminator_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return invariants.terminators(wrong, CELL, tokens.CELL_END)
 
 
+@query(SQL + """, c AS (SELECT l.feature_id, k, CASE WHEN (l.feature_id + k) % 1000 = 0 THEN range(1, w + 1) WHEN (l.feature_id + k) % 1000 = 1 THEN [260] || range(1, w + 1) || [260] ELSE range(1, w + 1) || [260] END AS t, city FROM feat l, range(2) r(k))
+SELECT city, count(*) AS n_cells, sum(len(t))::BIGINT AS n_tokens, count(*) FILTER (WHERE len(list_filter(t, lambda x: x = 260)) <> 1 OR t[len(t)] <> 260) AS n_bad FROM c GROUP BY 1""")
+def cell_end_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cell of a corpus: whether its terminator is there once, at the end. Two cells are made of each feature, of up to 50 tokens."""
+    row = F.col("feature_id") + F.col("k")
+    own, end = F.sequence(F.lit(1), F.col("w")), F.array(F.lit(tokens.CELL_END))
+    f = features(spark, sf_dir).select("city", "feature_id", "w", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+    c = f.select("city", F.when(row % 1000 == 0, own).when(row % 1000 == 1, F.concat(end, own, end)).otherwise(F.concat(own, end)).alias("tokens"))
+    bad = (F.size(F.filter("tokens", lambda t: t == tokens.CELL_END)) != 1) | (F.element_at("tokens", -1) != tokens.CELL_END)
+    return c.groupBy("city").agg(F.count("*").alias("n_cells"), F.sum(F.size("tokens")).alias("n_tokens"), F.count_if(bad).alias("n_bad"))
+
+
 @query(TOKENS_SQL + "SELECT sha, count(*) AS n FROM tok GROUP BY 1 HAVING count(*) > 1")
 def shared_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return invariants.repeated_digests(token_cells(spark, sf_dir).withColumnRenamed("provenance_sha256", "sha"), "sha")
