@@ -26,7 +26,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = LOCAL_SCRATCH
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+_MADE: list[str] = []
+
+
+def discard(spark: SparkSession) -> int:
+    """Deletes what this process has stored, to be called when no result is read any more; how many paths there were."""
+    n = len(_MADE)
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def stored(df: DataFrame, name: str, **options) -> DataFrame:
