@@ -39,7 +39,7 @@ CHUNKS = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 CHUNK_CUT = CHUNKS.findall
 MAX_STATES = 150_000
 #: Encoded strings that are kept at hand in each of two generations, and the longest of them.
-MAX_CHUNKS = 400_000
+MAX_CHUNKS = 250_000
 LONGEST_CHUNK = 64
 
 
@@ -98,8 +98,8 @@ class Transducer:
                 node = to
                 self.high[node] = i + 1
             self.token[node] = ranks[entry]
-        self._own: dict[int, bool] = {}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._own: dict[int, list[int]] = {}
+        self._pairs: dict[int, bool] = {}
         self._lefts: dict[int, list] = {}
         self._rights: dict[int, list] = {}
         self._clear()
@@ -112,30 +112,35 @@ class Transducer:
         self.behind: list[tuple[int, ...]] = [(0,)]  # how many bytes stand behind each place
         self.lists: list[tuple[int, ...]] = []
         self.list_numbers: dict[tuple[int, ...], int] = {}
-        self.moves: dict[tuple[int, int], tuple[bool, int | None]] = {}
+        self.moves: dict[int, tuple[bool, int | None]] = {}
+        self.kinds: dict[tuple[bool, int | None], tuple[bool, int | None]] = {}  # equal moves are one object
 
-    def _reachable(self, rank: int) -> bool:
-        """Whether the merges make the token out of its own bytes."""
+    def _parts(self, rank: int) -> list[int]:
+        """The tokens that the last merge joins to make this one, worked out once; a byte is its own, and a token that the merges
+        don't make out of its bytes has three or more."""
         known = self._own.get(rank)
         if known is None:
-            known = self._own[rank] = merge(self.ranks, self.entries[rank]) == [self.entries[rank]]
+            known = self._own[rank] = [self.ranks[p] for p in merge(self.ranks, self.entries[rank], 2)]
         return known
 
+    def _reachable(self, rank: int) -> bool:
+        """Whether the merges make the token out of its own bytes."""
+        return len(self._parts(rank)) < 3
+
     def _spine(self, rank: int, left: bool) -> list[tuple[bytes, float, float]]:
         """The parts that stand at the token's left or right edge while the merges make it: each with
         the rank that makes it and the rank that uses it up."""
         cache = self._lefts if left else self._rights
         known = cache.get(rank)
         if known is None:
-            parts, until = [self.entries[rank]], math.inf
             known = cache[rank] = []
+            until: float = math.inf
             while True:
-                edge = parts[0] if left else parts[-1]
-                known.append((edge, self.ranks[edge] if len(edge) > 1 else -1, until))
-                if len(edge) == 1:
+                single = self.lengths[rank] == 1
+                known.append((self.entries[rank], -1 if single else rank, until))
+                if single:
                     break
-                until = self.ranks[edge]
-                parts = merge(self.ranks, edge, 2)
+                until, rank = rank, self._parts(rank)[0 if left else -1]
         return known
 
     def _beside(self, left: int, right: int) -> bool:
@@ -144,9 +149,9 @@ class Transducer:
         ranks the one further left comes first. Left of the first token is -1."""
         if left < 0:
             return True
-        known = self._pairs.get((left, right))
+        known = self._pairs.get(left << 32 | right)
         if known is None:
-            if len(self._pairs) > 4 * self.max_states:
+            if len(self._pairs) > 2 * self.max_states:
                 self._pairs.clear()
             known, get = True, self.ranks.get
             for x, made_x, used_x in self._spine(left, False):
@@ -155,7 +160,7 @@ class Transducer:
                         rank = get(x + y)
                         if rank is not None and rank < used_x and rank <= used_y:
                             known = False
-            self._pairs[left, right] = known
+            self._pairs[left << 32 | right] = known
         return known
 
     def _move(self, node: int, before: int) -> tuple[bool, int | None]:
@@ -182,9 +187,10 @@ class Transducer:
             to = child(node << 8 | byte)
             if to is None:
                 continue
-            move = moves.get((to, before))
+            move = moves.get(to << 32 | before + (1 << 31))
             if move is None:
-                move = moves[to, before] = self._move(to, before)
+                move = self._move(to, before)
+                move = moves[to << 32 | before + (1 << 31)] = self.kinds.setdefault(move, move)
             if move[0] and last is None:
                 last = self.token[to]
             if move[1] is not None:
