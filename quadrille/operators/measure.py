@@ -281,24 +281,106 @@ def lossy(source: DataFrame, parts: DataFrame, key: list[str], tolerance: float)
     return both.where(F.abs(F.col("source") - F.col("parts")) > tolerance).select(*key, F.round("source", 6).alias("source"), F.round("parts", 6).alias("parts"))
 
 
+class FreePoints:
+    """Points (one at least) of which the nearest is taken, one after the other. Points of one place are a queue. Places are dealt out to the leaves of
+    a k-d tree, each node halved along the wider side of its box; nodes without free points are passed by. Node i has the children 2i and 2i + 1."""
+
+    LEAF = 8
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, rank: np.ndarray) -> None:
+        """rank, ascending, decides between points at the same distance."""
+        self.left = len(x)
+        order = np.lexsort((y, x))  # stable, so that the points of a place stay in order
+        x, y, rank = x[order], y[order], rank[order]
+        first = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+        ends, x, y = np.r_[first[1:], len(rank)], x[first], y[first]
+        n, at, boxes, live = len(first), np.arange(len(first)), [np.zeros((1, 4))], [np.zeros(1, int)]
+        self.leaves = 2 ** max(0, math.ceil(math.log2(n / self.LEAF)))
+        for d in range(self.leaves.bit_length()):
+            bounds = n * np.arange(2**d + 1) // 2**d
+            box = np.column_stack([f.reduceat(c[at], bounds[:-1]) for f in (np.minimum, np.maximum) for c in (x, y)])
+            boxes.append(box)
+            live.append(np.diff(bounds))
+            if 2**d < self.leaves:
+                node = np.repeat(np.arange(2**d), np.diff(bounds))
+                wide = box[:, 2] - box[:, 0] >= box[:, 3] - box[:, 1]
+                at = at[np.lexsort((np.where(wide[node], x[at], y[at]), node))]
+        self.boxes, self.live, self.bounds = [tuple(b) for b in np.concatenate(boxes).tolist()], np.concatenate(live).tolist(), bounds.tolist()
+        self.x, self.y = x[at].tolist(), y[at].tolist()
+        self.rank, self.next, self.end = rank.tolist(), first[at].tolist(), ends[at].tolist()
+
+    def nearest(self, x: float, y: float, reach: float) -> tuple[float, int, int, int] | None:
+        """(distance, rank, place, leaf) of the nearest free point that is within reach."""
+        found, best, rank, leaves, boxes, live = None, reach, math.inf, self.leaves, self.boxes, self.live
+        limit = best * best * (1 + 1e-9)  # wider than rounding, so that no point at the same distance is passed by
+        todo = [(0.0, 1)] if live[1] else []
+        while todo:
+            far, i = todo.pop()
+            if far > limit:
+                continue
+            if i >= leaves:
+                for k in range(self.bounds[i - leaves], self.bounds[i - leaves + 1]):
+                    if self.next[k] < self.end[k]:
+                        d = math.hypot(x - self.x[k], y - self.y[k])
+                        if d < best or d == best and self.rank[self.next[k]] < rank:
+                            best, rank = d, self.rank[self.next[k]]
+                            found, limit = (d, rank, k, i), best * best * (1 + 1e-9)
+                continue
+            pair = []
+            for c in (2 * i, 2 * i + 1):
+                if live[c]:
+                    x0, y0, x1, y1 = boxes[c]
+                    dx = x0 - x if x < x0 else x - x1 if x > x1 else 0.0
+                    dy = y0 - y if y < y0 else y - y1 if y > y1 else 0.0
+                    if (far := dx * dx + dy * dy) <= limit:
+                        pair.append((far, c))
+            if len(pair) == 2 and pair[0] < pair[1]:
+                pair.reverse()
+            todo += pair  # the nearer one is next
+        return found
+
+    def take(self, place: int, leaf: int) -> None:
+        """Its first point isn't free any more."""
+        self.left -= 1
+        self.next[place] += 1
+        if self.next[place] == self.end[place]:
+            while leaf:
+                self.live[leaf] -= 1
+                leaf >>= 1
+
+    def free(self) -> list[int]:
+        """Ranks of the points that are left, ascending."""
+        return sorted(r for k, z in zip(self.next, self.end) for r in self.rank[k:z])
+
+
 def greedy_match(points: DataFrame, by: list[str], left: Column, reach: float) -> DataFrame:
     """by, a, b, distance: points(by, id, x, y) of the left side in order of id, each with the nearest of the others that isn't taken yet and is
-    within reach; ties by id. One after the other, so a group is one task's; groups are small (a class in a cell)."""
+    within reach; ties by id. Points without an id or a finite place match nothing. What a point finds depends on all that went before, so a group is
+    one task's; it takes about n log n steps."""
 
     def run(group: pa.Table) -> pa.Table:
-        rows = sorted(zip(group["id"].to_pylist(), group["x"].to_pylist(), group["y"].to_pylist(), group["__left"].to_pylist()))
-        free, out = [r for r in rows if not r[3]], []
-        for a, x, y, own in rows:
-            if not own or not free:
+        ids, x, y, own = (group[c].to_numpy(zero_copy_only=False) for c in ("id", "x", "y", "__left"))
+        order = np.lexsort((own, y, x, ids))
+        order = order[np.isfinite(x[order]) & np.isfinite(y[order])]
+        ids, x, y, own = ids[order], x[order], y[order], own[order]
+        at = np.flatnonzero(~own)
+        points = FreePoints(x[at], y[at], at) if len(at) else None
+        built, out = len(at), []
+        for k in np.flatnonzero(own).tolist() if len(at) else []:
+            if not points.left:
+                break
+            if (found := points.nearest(float(x[k]), float(y[k]), reach)) is None:
                 continue
-            d, b, k = min((math.hypot(x - q[1], y - q[2]), q[0], k) for k, q in enumerate(free))
-            if d <= reach:
-                out.append((a, b, d))
-                free.pop(k)
-        n = len(out)
-        columns = {c: pa.array([group[c][0].as_py()] * n, group[c].type) for c in by}
-        return pa.table(columns | {"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64()), "distance": pa.array([o[2] for o in out], pa.float64())})
+            d, b, place, leaf = found
+            points.take(place, leaf)
+            out.append((k, b, d))
+            if 64 < points.left < built / 2:  # boxes close around what is left
+                at = np.array(points.free())
+                points, built = FreePoints(x[at], y[at], at), len(at)
+        a, b = (ids[[o[i] for o in out]] if out else np.zeros(0, np.int64) for i in (0, 1))
+        columns = {c: pa.array([group[c][0].as_py()] * len(out), group[c].type) for c in by}
+        return pa.table(columns | {"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "distance": pa.array([o[2] for o in out], pa.float64())})
 
     kinds = ", ".join(f"{c} {points.schema[c].dataType.simpleString()}" for c in by)
-    each = points.select(*by, F.col("id").cast("long").alias("id"), "x", "y", left.alias("__left"))
-    return each.groupBy(*by).applyInArrow(run, f"{kinds}, a long, b long, distance double")
+    each = points.select(*by, F.col("id").cast("long").alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.coalesce(left, F.lit(False)).alias("__left"))
+    return each.where("id IS NOT NULL").groupBy(*by).applyInArrow(run, f"{kinds}, a long, b long, distance double")

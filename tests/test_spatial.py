@@ -2,7 +2,9 @@
 
 import math
 import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +68,43 @@ def test_greedy_match_against_the_plain_form(spark):
     assert {(r.k, r.a, r.b) for r in plans.greedy_matches(spark, SF).collect()} == want and want
 
 
+def in_order(rows, reach):
+    """The plain form, of rows (id, x, y, left) in whole numbers: squares of distances are exact."""
+    rows, out = sorted(rows), []
+    free = np.array([r[:3] for r in rows if not r[3]], np.int64).reshape(-1, 3)
+    for a, x, y, _ in (r for r in rows if r[3]):
+        far = (free[:, 1] - x) ** 2 + (free[:, 2] - y) ** 2
+        if len(far) and far[k := far.argmin()] <= reach * reach:
+            out.append((a, int(free[k, 0]), math.sqrt(far[k])))
+            free = np.delete(free, k, axis=0)
+    return out
+
+
+def matched(spark, rows, reach):
+    points = spark.createDataFrame(rows, "id long, x double, y double, own boolean").withColumn("g", F.lit(1))
+    return sorted((r.a, r.b, r.distance) for r in measure.greedy_match(points, ["g"], F.col("own"), reach).collect())
+
+
+def test_greedy_match_of_a_large_group(spark):
+    """30,000 a side in one group, many of them at one place or at the same distance, in a minute: not each against each."""
+    rng = random.Random(7)
+    rows = [(k, rng.randrange(300), rng.randrange(300), k % 2 == 0) for k in rng.sample(range(60_000), 60_000)]
+    want, began = in_order(rows, 20), time.monotonic()
+    got = matched(spark, [(k, float(x), float(y), own) for k, x, y, own in rows], 20.0)
+    assert time.monotonic() - began < 60 and got == want and len(want) > 29_000
+
+
+def test_greedy_match_of_hard_groups(spark):
+    rng = random.Random(8)
+    for n, span, share, reach in ((1, 1, 0.0, 9), (9, 1, 0.5, 0), (300, 1, 0.5, 2), (300, 3, 0.9, 1), (300, 3, 0.1, 0), (300, 5000, 0.5, 300), (300, 5000, 0.5, 9000), (40, 9, 1.0, 9), (40, 9, 0.0, 9)):
+        rows = [(k, rng.randrange(span), rng.randrange(span), rng.random() < share) for k in range(n)]
+        assert matched(spark, [(k, float(x), float(y), own) for k, x, y, own in rows], float(reach)) == in_order(rows, reach)
+    # Without a place or an id nothing is matched; a side that isn't known is the other one.
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, None, 0.0, True), (2, nan, 0.0, True), (3, inf, 0.0, True), (None, 0.0, 0.0, True), (4, 0.0, 0.0, True), (5, 0.0, None, False), (6, 0.0, nan, False), (None, 0.0, 0.0, False), (7, 0.0, 3.0, None)]
+    assert matched(spark, rows, 9.0) == [(4, 7, 3.0)]
+
+
 def test_clips_to_polygons():
     ell = [(0, 0), (30, 0), (30, 10), (10, 10), (10, 30), (0, 30), (0, 0)]
     assert measure.clip_line_to_ring([(-5, 20), (40, 20)], ell) == [[(0, 20), (10, 20)]]
