@@ -353,10 +353,11 @@ class FreePoints:
         return sorted(r for k, z in zip(self.next, self.end) for r in self.rank[k:z])
 
 
-def greedy_match(points: DataFrame, by: list[str], left: Column, reach: float) -> DataFrame:
-    """by, a, b, distance: points(by, id, x, y) of the left side in order of id, each with the nearest of the others that isn't taken yet and is
-    within reach; ties by id. Points without an id or a finite place match nothing. What a point finds depends on all that went before, so a group is
-    one task's; it takes about n log n steps."""
+def greedy_match(points: DataFrame, by: list[str], left: Column, reach: float, keep: Sequence[str] = ()) -> DataFrame:
+    """by, keep, a, b, distance: points(by, keep, id, x, y) of the left side in order of id, each with the nearest of the others that isn't taken yet
+    and is within reach; ties by id. keep are columns of a. Points without an id or a finite place match nothing. Points of two groups are never a pair:
+    by is for classes, and no by is one group; cells of a grid would leave out the pairs across their sides. What a point finds depends on all that went
+    before, so a group is one task's; it takes about n log n steps."""
 
     def run(group: pa.Table) -> pa.Table:
         ids, x, y, own = (group[c].to_numpy(zero_copy_only=False) for c in ("id", "x", "y", "__left"))
@@ -377,10 +378,10 @@ def greedy_match(points: DataFrame, by: list[str], left: Column, reach: float) -
             if 64 < points.left < built / 2:  # boxes close around what is left
                 at = np.array(points.free())
                 points, built = FreePoints(x[at], y[at], at), len(at)
-        a, b = (ids[[o[i] for o in out]] if out else np.zeros(0, np.int64) for i in (0, 1))
-        columns = {c: pa.array([group[c][0].as_py()] * len(out), group[c].type) for c in by}
-        return pa.table(columns | {"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "distance": pa.array([o[2] for o in out], pa.float64())})
+        a, b = (np.array([o[i] for o in out], np.int64) for i in (0, 1))
+        columns = {c: group[c].take(pa.array(order[a])) for c in (*by, *keep)}
+        return pa.table(columns | {"a": pa.array(ids[a], pa.int64()), "b": pa.array(ids[b], pa.int64()), "distance": pa.array([o[2] for o in out], pa.float64())})
 
-    kinds = ", ".join(f"{c} {points.schema[c].dataType.simpleString()}" for c in by)
-    each = points.select(*by, F.col("id").cast("long").alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.coalesce(left, F.lit(False)).alias("__left"))
-    return each.where("id IS NOT NULL").groupBy(*by).applyInArrow(run, f"{kinds}, a long, b long, distance double")
+    kinds = "".join(f"{c} {points.schema[c].dataType.simpleString()}, " for c in (*by, *keep))
+    each = points.select(*by, *keep, F.col("id").cast("long").alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.coalesce(left, F.lit(False)).alias("__left"))
+    return each.where("id IS NOT NULL").groupBy(*by).applyInArrow(run, f"{kinds}a long, b long, distance double")
